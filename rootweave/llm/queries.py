@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import protein_core, same_id
-from rootweave.llm import leaks, tokenizer
+from rootweave.llm import leaks, sentences, tokenizer
 from rootweave.llm.similar_sets import SimilarSets
 from rootweave.llm.topn import top_n
 from rootweave.sources.tables import load
@@ -101,5 +101,19 @@ def p8_scrubbed(spark: SparkSession, d: str) -> DataFrame:
     return leaks.scrub(load(spark, d, "documents", "doc_id", "text"), load(spark, d, "eval_items", "item_id", "item_text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p7_ids, p7_round_trip, p8_found, p8_runs, p8_scrubbed)}
+# ---- p9: sentences
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of every document."""
+    return sentences.sentences(load(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Units and their mean length per document."""
+    units = p9_found(spark, d).groupBy("doc_id")
+    return units.agg(F.count(F.lit(1)).alias("n_units"), F.round(F.avg(F.col("end_pos") - F.col("start_pos")), 3).alias("mean_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p5_found, p7_ids, p7_round_trip, p8_found, p8_runs, p8_scrubbed, p9_found, p9_lengths)}
 ORACLES = {"p2_found": P2_FOUND_SQL, "p2_classes": P2_CLASSES_SQL, "p5_found": P5_FOUND_SQL}

@@ -34,6 +34,8 @@ FLOOR = -6.0
 _END = ".!?…。！？｡؟۔।॥;;"
 _WIDE = "。！？｡…"
 _CLOSE = "\"'”’“»›)]}」』）】〉》*_`"
+_OPEN = "\"'“‘«„([{¿¡"
+_DOTTED = regex.compile(r"\w\.[a-z]")
 _PAIRS = dict(zip("«“‘(（[「『【〈《„‹", "»”’)）]」』】〉》“›"))
 _SPACED = ("Latin", "Cyrillic", "Greek", "Hangul", "Devanagari", "Arabic", "Hebrew")
 _SCRIPT = regex.compile("|".join(rf"(?P<{s}>\p{{{s}}})" for s in (*_SPACED, "Thai", "Han", "Hiragana", "Katakana")))
@@ -41,8 +43,10 @@ _CASED = {"Latin", "Cyrillic", "Greek"}
 _DENSE = {"Han", "Hiragana", "Katakana"}
 _FENCE = regex.compile(r"[ \t]*(```+|~~~+)")
 _LINE_UNIT = regex.compile(r"\s*(?:#+(?:\s|$)|[-*] |[0-9]+\. )")
-_PLACE = regex.compile(rf"(?P<end>[{regex.escape(_END)}]+)(?P<close>(?:[{regex.escape(_CLOSE)}]|[   ](?=»))*)(?=\s)|(?P<wide>(?:[.!?]|[{_WIDE}])*[{_WIDE}](?:[.!?]|[{_WIDE}])*)(?P<wclose>[{regex.escape(_CLOSE)}]*)(?=\S)|(?<=\p{{Thai}})(?P<gap>[^\S\n]+)(?=\S)|(?<=\S)(?P<gap2>[^\S\n]+)(?=\p{{Thai}})")
-_TOKEN = regex.compile(r"\S+")
+_PLACE = regex.compile(rf"(?P<end>[{regex.escape(_END)}]+)(?P<close>(?:[{regex.escape(_CLOSE)}]|[   ](?=»))*)(?=\s)|(?P<wide>(?:[.!?]*[{_WIDE}])++[.!?]*+)(?P<wclose>[{regex.escape(_CLOSE)}]*+)(?=\S)(?![{regex.escape(_END)}])|(?<=\p{{Thai}})(?P<gap>[^\S\n]+)(?=\S)|(?<=\S)(?P<gap2>[^\S\n]+)(?=\p{{Thai}})")
+_NEXT = regex.compile(r"\S{1,40}")
+_STRONG = regex.compile(r"\p{Ll}{4,}[.?]")
+_WORD = regex.compile(r"\p{Ll}{4,}\.")
 
 
 def blocks(text: str):
@@ -94,15 +98,27 @@ def _case(c: str) -> str:
     return "U" if c.isupper() else "l" if c.islower() else "9" if c.isdigit() else "o" if c.isalpha() else c
 
 
-def left_keys(before: str) -> tuple[str, str, str]:
-    """Own key (or ''), shape and script of what stands before a place: the token with its end mark and closers."""
-    m = regex.search(rf"([^\s]*?)([{regex.escape(_END)}]*)((?:[{regex.escape(_CLOSE)}]|[   ](?=»))*)$", before[-40:])
-    word, end, close = m[1].lstrip("\"'“‘«„([{¿¡"), m[2], m[3].strip()
+def before(text: str, stop: int) -> str:
+    """The token that ends at ``stop`` with its end mark and closers, at most 40 characters of it."""
+    at = stop - 1 if stop > 1 and text[stop - 1] == "»" and text[stop - 2].isspace() else stop
+    low = max(0, stop - 40)
+    a = at - (at < stop)
+    while a > low and not text[a - 1].isspace():
+        a -= 1
+    return text[a:stop]
+
+
+def left_keys(token: str) -> tuple[str, str, str]:
+    """Own key (or ''), shape and script of the token before a place."""
+    rest = token.rstrip(_CLOSE + "\u00a0\u202f ")
+    close = "".join(token[len(rest):].split())
+    word = rest.rstrip(_END)
+    end = rest[len(word):]
+    word = word.lstrip(_OPEN)
     kind = _script(word[::-1]) if word else "other"
-    mark = end if len(set(end)) <= 1 else end[-1] + "+"
-    mark = mark[:1] + ("+" if len(mark) > 1 else "")
+    mark = end[-1:] + ("+" if len(end) > 1 else "")
     if kind in _DENSE or end not in (".", ""):
-        return "", f"L|{kind if kind not in _DENSE else 'dense'}|{mark}|{close}", kind
+        return "", f"L|{'dense' if kind in _DENSE else kind}|{mark}|{close}", kind
     plain = regex.sub("[0-9]+", "9", word)
     if kind == "Thai":
         return f"l|{word[-4:]}{end}{close}", f"L|Thai|{mark}|{close}", kind
@@ -112,22 +128,17 @@ def left_keys(before: str) -> tuple[str, str, str]:
 
 
 def right_keys(token: str) -> tuple[str, str, str]:
-    """Own key, shape and script of the token a sentence would begin with."""
+    """Own key (or ''), shape and script of the token a sentence would begin with."""
     kind = _script(token)
     if kind in _DENSE:
-        return f"r|{token[0]}", f"R|dense|{_case(token[0]) if not token[0].isalpha() else kind}", "dense"
+        return f"r|{token[: 1 if token[0].isalpha() else 2]}", f"R|dense|{kind if token[0].isalpha() else token[0]}", "dense"
     if kind == "Thai":
         return f"r|{token[:3]}", "R|Thai", kind
     plain = regex.sub("[0-9]+", "9", token)
     head = regex.search(r"[\p{L}\p{N}]", token)
     opener = "".join(sorted(set(token[: head.start()] if head else token[:2])))
-    dotted = bool(regex.search(r"\w\.\w", token))
-    quoted = kind in _CASED and regex.search("[\"'“«„‘]", opener)  # the word in a quotation says little
-    return "" if quoted else f"r|{plain}", f"R|{kind}|{opener}|{_case(head[0]) if head else ''}|{dotted}", kind
-
-
-def _right(key: str) -> str:
-    return key if "|" in key else f"B|r|{key}"
+    quoted = kind in _CASED and not set(opener).isdisjoint("\"'“«„‘")  # the word in a quotation says little
+    return "" if quoted else f"r|{plain}", f"R|{kind}|{opener}|{_case(head[0]) if head else ''}|{bool(_DOTTED.search(token))}", kind
 
 
 def _bucket(key: str) -> int:
@@ -155,46 +166,61 @@ def places(text: str):
             yield m.end(), start, False
 
 
-def _evidence(text: str, counts: Counter, tokens: Counter) -> None:
-    """Add one paragraph to the training counts: keys -> (side, is at the paragraph's edge)."""
-    found = list(places(text))
-    for stop, start, _ in found:
-        own, shape, kind = left_keys(text[max(0, stop - 40): stop])
-        for k in (own, shape, f"B|l|{kind}"):
-            if k:
-                counts[k, 0] += 1
-        nxt = _TOKEN.match(text, start)[0]
-        if _script(nxt) in _DENSE | {"Thai"}:
-            for k in right_keys(nxt):
-                counts[_right(k), 0] += bool(k)
-    if regex.search(rf"[{regex.escape(_END)}][{regex.escape(_CLOSE)}]*$|\p{{Thai}}$", text):
-        own, shape, kind = left_keys(text[-40:])
-        for k in (own, shape, f"B|l|{kind}"):
-            if k:
-                counts[k, 1] += 1
-    all_tokens = _TOKEN.findall(text)
-    for k in right_keys(all_tokens[0]):
-        counts[_right(k), 1] += bool(k)
-    tokens.update(all_tokens[1:])
+def _evidence(text: str, lefts: Counter, rights: Counter, tokens: Counter) -> None:
+    """Add one paragraph: tokens before and after its places and at its edges, and all its other tokens."""
+    within = _within(text)
+    for stop, start, _ in places(text):
+        if within(stop):
+            continue  # sentences inside a quotation or bracket say nothing about the text's own
+        token = before(text, stop)
+        lefts[token, 0] += 1
+        if _STRONG.fullmatch(token) and text[start].isupper():
+            follows = _NEXT.match(text, start)[0]
+            rights[follows, 1] += 1  # as good as a paragraph's start
+            rights[follows, 0] -= 1  # it is counted with all tokens below
+        elif _script(text[start: start + 2]) in _DENSE | {"Thai"}:
+            rights[text[start: start + 3], 0] += 1
+    if text[-1] in _END + _CLOSE or _script(text[-1]) == "Thai":
+        lefts[before(text, len(text)), 1] += 1
+    first, *rest = text.split()
+    rights[first[:40], 1] += 1
+    tokens.update(rest)
+
+
+def _within(text: str):
+    """Whether a position lies inside quotes or brackets that close again, by plain pairing."""
+    spans, waits = [], []
+    for i, ch, way in _marks(text):
+        if waits and ch == waits[-1][1] and way != "open":
+            spans.append((waits.pop()[0], i))
+        elif way != "close":
+            waits.append((i, _PAIRS.get(ch, ch)))
+    return lambda at: any(a < at <= b for a, b in spans)
 
 
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of every feature bucket, at paragraph edges and inside: a BUCKETS x 2 array of fixed size.
+    """Counts of every feature bucket, inside and at paragraph edges: a BUCKETS x 2 array of fixed size.
 
     Tasks count their own documents; one row per bucket shuffles and reaches the driver.
     """
     def run(batches):
-        counts, tokens = Counter(), Counter()
+        lefts, rights, tokens = Counter(), Counter(), Counter()
 
         def flush():
-            for token, n in tokens.items():
-                if _script(token) not in _DENSE | {"Thai"}:
-                    for k in right_keys(token):
-                        counts[_right(k), 0] += n * bool(k)
             rows = Counter()
-            for (key, edge), n in counts.items():
-                rows[_bucket(key), edge] += n
-            counts.clear()
+            for counts, keys_of, side in ((lefts, left_keys, "l"), (rights, right_keys, "r")):
+                for (token, edge), n in counts.items():
+                    own, shape, kind = keys_of(token)
+                    for k in (own, shape, f"B|{side}|{kind}"):
+                        if k:
+                            rows[_bucket(k), edge] += n
+                counts.clear()
+            for token, n in tokens.items():
+                own, shape, kind = right_keys(token[:40])
+                if kind not in ("dense", "Thai"):
+                    for k in (own, shape, f"B|r|{kind}"):
+                        if k:
+                            rows[_bucket(k), 0] += n
             tokens.clear()
             if rows:
                 b, e = zip(*rows)
@@ -204,9 +230,9 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
             for value in batch.column(0).to_pylist():
                 for a, b, unit in blocks(value):
                     if not unit and b > a:
-                        _evidence(value[a:b], counts, tokens)
-            if len(tokens) + len(counts) > 200_000:
-                yield from flush()
+                        _evidence(value[a:b], lefts, rights, tokens)
+                if len(tokens) + len(lefts) > 300_000:
+                    yield from flush()
         yield from flush()
 
     rows = docs.select(F.col(text).alias("text")).where("text is not null and text <> ''").mapInArrow(run, "bucket int, edge int, n bigint")
@@ -237,15 +263,16 @@ class Tagger:
             p = (edge + BACKOFF * p) / (edge + inside + BACKOFF)
         return max(FLOOR, math.log(max(p, 1e-9) / q))
 
-    def left(self, before: str) -> float:
-        own, shape, kind = left_keys(before)
+    def left(self, token: str) -> float:
+        own, shape, kind = left_keys(token)
         if not own and kind in _CASED:
             return 0.0  # not a full stop: what follows decides
         return min(0.5, self._score(own, shape, f"B|l|{kind}"))
 
     def right(self, token: str) -> float:
         own, shape, kind = right_keys(token)
-        return min(3.0, self._score(own, shape, f"B|r|{kind}"))
+        score = min(3.0, self._score(own, shape, f"B|r|{kind}"))
+        return max(score, -0.5) if _DOTTED.search(token) else score  # a file name can stand anywhere
 
     def _cached(self, side: str, text: str) -> float:
         x = self.known.get((side, text))
@@ -257,32 +284,33 @@ class Tagger:
 
     def emission(self, text: str, stop: int, start: int, thai: bool) -> float:
         """Log-odds of a boundary at a place."""
-        a = max(text.rfind(" ", 0, stop - 2), text.rfind("\n", 0, stop - 2), stop - 40, -1) + 1
-        if stop - 1 >= 0 and text[stop - 1] == "»" and stop > 2 and text[stop - 2].isspace():
-            a = max(text.rfind(" ", 0, max(0, stop - 2)), stop - 40, -1) + 1
-        s = self._cached("l", text[a:stop])
+        token = before(text, stop)
+        s = self._cached("l", token)
         if thai:
             return THAI_SPACE + max(-2.0, s)
-        return BIAS + s + self._cached("r", _TOKEN.match(text, start)[0][:40])
+        follows = self._cached("r", _NEXT.match(text, start)[0])
+        if s > -0.5 and _WORD.fullmatch(token):
+            follows = max(follows, -0.5)  # a plain word that does end sentences: text in small letters
+        return BIAS + s + follows
 
     def cut(self, text: str) -> list[tuple[int, int]]:
         """Units of a paragraph, positions within it."""
         found = list(places(text))
         if not found:
             return [(0, len(text))] if text else []
-        events = [(stop, 1, start, thai) for stop, start, thai in found]
-        events += [(i, 0, ch, way) for i, ch, way in _marks(text)]
+        events = [(stop, 0, start, thai) for stop, start, thai in found]  # a place lies before the mark at its end
+        events += [(i, 1, ch, way) for i, ch, way in _marks(text)]
         events.sort(key=lambda e: e[:2])
         # Viterbi: state = closing mark the path waits for ('' outside); value = score and the boundaries so far.
         best: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
-        for at, is_place, x, y in events:
+        for at, is_mark, x, y in events:
             new: dict[str, tuple[float, tuple | None]] = {}
 
             def offer(state: str, score: float, path, new=new):
                 if state not in new or new[state][0] < score:
                     new[state] = (score, path)
 
-            if is_place:
+            if not is_mark:
                 s = self.emission(text, at, x, y)
                 for state, (score, path) in best.items():
                     gain = s - (WITHIN if state else 0)
