@@ -35,10 +35,15 @@ def cut_version(c: Column | str) -> Column:
     return F.nullif(F.btrim(F.substring_index(trim_id(c), ".", 1), F.lit(ID_SPACE)), F.lit(""))
 
 
+_CORE = r"(?is)\A[ \t\r\n\u00a0]*+(?:9606\.)?(ENSP[0-9]++)(?:\..*|[ \t\r\n\u00a0]*)\z"
+
+
 def protein_core(c: Column | str) -> Column:
-    """Core id of a protein: trimmed, capitals, without species and version; null if it is no ENSP id."""
-    core = F.substring_index(strip_species(F.upper(trim_id(c))), ".", 1)
-    return F.when(core.rlike(r"^ENSP[0-9]+\z"), core)
+    """Core id of a protein: trimmed, capitals, without species and version; null if it is no ENSP id.
+
+    One pass of one regular expression: this runs twice per row of the largest table.
+    """
+    return F.upper(F.nullif(F.regexp_extract(col(c), _CORE, 1), F.lit("")))
 
 
 def gene_core(c: Column | str) -> Column:
