@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rootweave.functions.ids import ensp_or_null, gene_core, protein_core, same_id, strip_species, trim_id
 from rootweave.operators import adme, edges, enrich, graph, proximity, resolve, sampling, ses
-from rootweave.plans.quality import SPACE_SQL, core_sql, id_sql
+from rootweave.plans.network_sql import ORACLES  # noqa: F401
 from rootweave.session import cut
 from rootweave.sources import payload
 from rootweave.sources.files import kind_from_name
@@ -509,7 +509,7 @@ def table_counts(spark, d):
     return out
 
 
-ORACLES: dict[str, str] = {}
+
 QUERIES = {
     f.__name__: f
     for f in (
