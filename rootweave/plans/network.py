@@ -329,7 +329,8 @@ def set_distances(spark, d):
     g, sets = _graph(spark, d), _first_pair(spark, d)
     a, b = (sets.where(F.col("side") == s).select("node") for s in "AB")
     out = graph.set_distances(graph.distances(g, a.unionByName(b).distinct()), a, b)
-    return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.round(c, 8)).alias(c)
+    return out.select(*[finite(c) for c in out.columns])
 
 
 def degree_matched_sample(spark, d):

@@ -85,6 +85,9 @@ LF = "lgamma({0} + 1)"
 CH = lambda a, b: f"(lgamma(({a}) + 1) - lgamma(({b}) + 1) - lgamma(({a}) - ({b}) + 1))"
 
 
+FIN = lambda v: f"(case when isfinite({v}) then round({v}, 8) end)"
+
+
 def ora(st="st", cut=0):
     return f"""kn as (select distinct gene from tm), tsz as (select category, term, count(*) m from tm group by all), nt as (select category, count(*) n_tests from tsz group by all),
 ssz as (select set_id, count(*) n, count(*) filter (kn.gene is null) outside from {st} left join kn using (gene) group by set_id),
@@ -164,22 +167,22 @@ ORACLES = {
     "distance_lookup": f"""with recursive {KINDS}, {FORMULA}, p as (select id x, lead(id) over (order by id) y from ki where kind = 'Formula')
         select x, y, fd.d from p left join fd on fd.src = x and fd.dst = y where y is not null""",
     "set_distances": f"""{BASE}, {FIRST}, a as (select node from sets where side = 'A'), b as (select node from sets where side = 'B'),
-        bf(s, n, d) as (select distinct node, node, 0 from sets union select bf.s, u.m, bf.d + 1 from bf join u on u.n = bf.n where bf.d < 6),
+        bf(s, n, d) as (select distinct node, node, 0 from sets union select bf.s, u.m, bf.d + 1 from bf join u on u.n = bf.n where bf.d < 14),
         lv as (select s, n, min(d) d from bf group by s, n),
         ab as (select s, n, d from lv where s in (from a) and n in (from b)),
         na as (select a.node, coalesce(min(d), 'inf'::double) d from a left join ab on ab.s = a.node group by a.node), nb as (select b.node, coalesce(min(d), 'inf'::double) d from b left join ab on ab.n = b.node group by b.node),
         ia as (select a.node, coalesce(min(d), 'inf'::double) d from a left join lv on s = a.node and n <> s and n in (from a) group by a.node), ib as (select b.node, coalesce(min(d), 'inf'::double) d from b left join lv on s = b.node and n <> s and n in (from b) group by b.node),
         c as (select avg(d) v from (select d from na union all select d from nb))
-        select round(c.v, 8) closest, round(c.v - ((case when (select count(*) from a) <= 1 then 0 else (select avg(d) from ia) end) + (case when (select count(*) from b) <= 1 then 0 else (select avg(d) from ib) end)) / 2, 8) separation,
-        round(case when (select count(*) from ab) < (select count(*) from a) * (select count(*) from b) then 'inf'::double else (select avg(d) from ab) end, 8) shortest,
-        round(coalesce((select avg(d) from ab), 'inf'::double), 8) mean_all_pairs, round(coalesce((select avg(d) from na where d < 'inf'::double), 'inf'::double), 8) closest_directed from c""",
+        select {FIN('c.v')} closest, {FIN("c.v - ((case when (select count(*) from a) <= 1 then 0 else (select avg(d) from ia) end) + (case when (select count(*) from b) <= 1 then 0 else (select avg(d) from ib) end)) / 2")} separation,
+        {FIN("case when (select count(*) from ab) < (select count(*) from a) * (select count(*) from b) then 'inf'::double else (select avg(d) from ab) end")} shortest,
+        {FIN("(select avg(d) from ab)")} mean_all_pairs, {FIN("(select avg(d) from na where d < 'inf'::double)")} closest_directed from c""",
     "degree_matched_sample": f"{BASE}, {FIRST}, {SAMPLES} select pair, side, it, node from sm",
     "proximity_null": f"{BASE}, {FIRST}, {SAMPLES}, {NULLS} select pair, it, round(d, 8) d from ds",
     "proximity_z": f"""{BASE}, {FIRST}, {SAMPLES}, {NULLS}, o as (select pair, d from ds where it = 0),
         s as (select o.pair, avg(ds.d) mean, stddev_pop(ds.d) std, avg((ds.d <= o.d)::int) p, count(*) n from ds join o on o.pair = ds.pair where it > 0 and ds.d < 'inf'::double group by o.pair)
         select o.pair, round(o.d, 6) d, round(case when std < 1e-12 then 0 else (o.d - mean) / std end, 6) z, round(mean, 6) mean, round(std, 6) std, round(p, 6) p, n from o join s on s.pair = o.pair""",
     "ora_counts": f"{BASE}, {TERMS}, {ora()} select * from ov",
-    "ora_enrich": f"{BASE}, {TERMS}, {ora()} select set_id, category, term, k, round(log10(greatest(p, 1e-300)), 4) log_p, round(log10(greatest(q, 1e-300)), 4) log_q from qv",
+    "ora_enrich": f"{BASE}, {TERMS}, {ora()} select set_id, category, term, k, round(log10(greatest(p, 1e-300)), 4) + 0 log_p, round(log10(greatest(q, 1e-300)), 4) + 0 log_q from qv",
     "ora_top_terms": f"""{BASE}, {TERMS}, {ora()}, t as (select set_id, category, term, row_number() over (partition by set_id, category order by lq, lp, k desc, category, term) place from lg where round(q, 9) <= 0.05)
         select * from t where place <= 20""",
     "term_rank_fdr": f"""{BASE}, {TERMS}, {ora()}, t as (select set_id, concat(category, ':', term) as "key", row_number() over (partition by set_id order by lq, lp, concat(category, ':', term)) place from lg where category <> 'Symbol')
