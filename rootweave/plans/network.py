@@ -57,26 +57,35 @@ def _seeds(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def _first_pair(spark: SparkSession, d: str) -> DataFrame:
-    """``pair, side, node``: the proteins of the first herb (A) and the first disease (B) that have any in the graph."""
+    """``pair, side, node``: the proteins of the first herb (A) and the first disease (B) that have any in the graph.
+
+    Which records reach the graph is found backward, by distinct nodes per step; only the two that are picked
+    are resolved forward.
+    """
     r, inside = _resolver(spark, d), graph.nodes(_graph(spark, d)).select(F.col("node").alias("ensp"))
-    side = {}
-    for name, found in (("A", r.herbs(_seeds(spark, d, "Herb"))), ("B", r.diseases(_seeds(spark, d, "Disease")))):
-        found = cut(found.join(inside, "ensp", "left_semi").select("query", "ensp").distinct(), "resolved")
-        side[name] = found.where(F.col("query") == found.agg(F.min("query").alias("q")).scalar()).select(
-            F.lit("first").alias("pair"), F.lit(name).alias("side"), F.col("ensp").alias("node")
-        )
-    return cut(side["A"].unionByName(side["B"]), "first-pair")
+    genes = resolve.clean_xref(_xref(spark, d)).join(inside, "ensp", "left_semi").select("ensg")
+    named = r.targets.select(same_id("target_id").alias("id"), gene_core("ensembl_id").alias("ensg")).join(genes, "ensg", "left_semi")
+    start = named.select(F.lit("graph").alias("query"), "id").where("id is not null").distinct()
+    drugs = r._hop(start, "Ingredient–Target").select("query", F.col("node").alias("id"))
+    ends = {"A": (r._hop(drugs, "Herb–Ingredient"), "Herb", r.herbs), "B": (r._hop(start, "Target–Disease"), "Disease", r.diseases)}
+    sides = []
+    for side, (found, kind, forward) in ends.items():
+        first = resolve.by_kind(found, _kinds(spark, d), kind).agg(F.min("node").alias("id")).select(F.col("id").alias("query"), "id")
+        ensp = forward(cut(first, "first")).join(inside, "ensp", "left_semi").select(F.lit("first").alias("pair"), F.lit(side).alias("side"), F.col("ensp").alias("node"))
+        sides.append(ensp.distinct())
+    return cut(sides[0].unionByName(sides[1]), "first-pair")
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    """``category, term, gene``: ingredients and herbs (by ingredients) with the genes of their targets, and gene
-    symbols by their first two letters."""
-    r = _resolver(spark, d)
-    genes = lambda df, name: df.select(F.lit(name).alias("category"), F.col("query").alias("term"), F.col("ensg").alias("gene")).distinct()
-    symbol = resolve.clean_xref(_xref(spark, d)).where("hgnc_symbol is not null").select(
-        F.lit("Symbol").alias("category"), F.substring("hgnc_symbol", 1, 2).alias("term"), F.col("ensg").alias("gene")
-    ).distinct()
-    return genes(r.ingredients(_seeds(spark, d, "Ingredient")), "Ingredient").unionByName(genes(r.herbs(_seeds(spark, d, "Herb")), "Herb")).unionByName(symbol)
+    """``category, term, gene``: ingredients with the genes of their targets, and gene symbols by their first two
+    and three letters."""
+    found = _resolver(spark, d).ingredients(_seeds(spark, d, "Ingredient"))
+    drugs = found.select(F.lit("Ingredient").alias("category"), F.col("query").alias("term"), F.col("ensg").alias("gene")).distinct()
+    names = resolve.clean_xref(_xref(spark, d)).where("hgnc_symbol is not null").select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.substring("hgnc_symbol", 1, n).alias("term")) for k, n in (("Symbol", 2), ("Family", 3))])).alias("t"),
+        F.col("ensg").alias("gene"),
+    )
+    return drugs.unionByName(names.select("t.*", "gene").distinct())
 
 
 def _disease_sets(spark: SparkSession, d: str) -> DataFrame:

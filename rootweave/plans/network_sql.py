@@ -77,8 +77,8 @@ def checked(ob, dl, logp, most, tail=""):
       from (select *, {v} violations from ingredient_info)){tail}"""
 
 
-TERMS = f"""{HERB}, {DRUG}, {DIS},
-tm as (select distinct 'Ingredient' category, query term, ensg gene from ip union all select distinct 'Herb', query, ensg from hp
+TERMS = f"""{DRUG}, {DIS},
+tm as (select distinct 'Ingredient' category, query term, ensg gene from ip union all select distinct 'Family', substr(hgnc_symbol, 1, 3), ensg from x where hgnc_symbol is not null
        union all select distinct 'Symbol', substr(hgnc_symbol, 1, 2), ensg from x where hgnc_symbol is not null),
 st as (select distinct query set_id, ensg gene from dp)"""
 LF = "lgamma({0} + 1)"
