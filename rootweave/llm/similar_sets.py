@@ -11,6 +11,7 @@ verified on the original sets.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -94,7 +95,7 @@ def sketches(pieces: DataFrame, w: int, m: int) -> DataFrame:
                 low = np.concatenate(list(_minima(values, starts, k)))
                 yield pa.record_batch([batch.column("id").slice(at, 1), batch.column("n").slice(at, 1), pa.array([low.tobytes()])], names=["id", "n", "low"])
 
-    def merge(key, batches):
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, n = None, 0
         for b in batches:
             for row, size in zip(b.column("low"), b.column("n")):
