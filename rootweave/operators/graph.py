@@ -93,6 +93,12 @@ def missing_sources(cache: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.select("node").distinct().join(cache.select(F.col("src").alias("node")), "node", "left_anti")
 
 
+def same_nodes(graph: DataFrame, cache: DataFrame) -> bool:
+    """Whether a cache of distance rows speaks of no node that the graph lacks, and so may still be used."""
+    known = cache.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return known.join(nodes(graph), "node", "left_anti").isEmpty()
+
+
 def pair_table(distance: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """``x, y, d`` for all known pairs of set ``a`` and set ``b`` (``node``). Unreachable pairs have no row."""
     x, y = a.select(F.col("node").alias("src")), b.select(F.col("node").alias("dst"))

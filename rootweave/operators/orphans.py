@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootweave.session import cut
+from rootweave.session import cut, utc
 
 #: A key is heavy if it has at least 1/HEAVY_PARTS of all references; so there are at most HEAVY_PARTS.
 HEAVY_PARTS = 1000
@@ -83,7 +83,7 @@ def orphan_references(refs: DataFrame, records: DataFrame, heavy_parts: int = HE
     may be empty.
     """
     refs = refs.where(F.col("key").isNotNull())
-    month = F.date_format("t", "yyyy-MM")
+    month = F.date_format(utc("t"), "yyyy-MM")
     per = cut(
         refs.groupBy(*KEY, month.alias("seen_month"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max")),

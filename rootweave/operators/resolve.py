@@ -116,3 +116,16 @@ class Resolver:
 def resolution_stats(resolved: DataFrame) -> DataFrame:
     """Diagnostics per query: distinct genes and proteins."""
     return resolved.groupBy("query").agg(F.count_distinct("ensg").alias("n_ensg"), F.count_distinct("ensp").alias("n_ensp"))
+
+
+def first_by_position(values: DataFrame, key: str, pos: str) -> DataFrame:
+    """The first row of every key by position, other columns with it; with equal positions the least row."""
+    rest = [c for c in values.columns if c != key]
+    row = F.struct(F.col(pos), *[F.col(c) for c in rest if c != pos])
+    return values.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def merge_first(core: DataFrame, found: DataFrame, key: str, value: str) -> DataFrame:
+    """``core`` (``key``) with the first ``value`` of ``found``; a key that isn't found maps to itself."""
+    first = found.groupBy(key).agg(F.min(value).alias(value))
+    return core.select(key).distinct().join(first, key, "left").withColumn(value, F.coalesce(value, key))

@@ -96,12 +96,21 @@ def local_provider(terms: DataFrame) -> Provider:
     return lambda sets: enrich(sets, terms).select("set_id", "category", F.col("term").alias("term_id"), "term", F.col("p").alias("p_value"), F.col("q").alias("fdr"))
 
 
-def by_category(sets: DataFrame, provider: Provider, by: tuple[str, ...], top_n: int = 20, q_cut: float = 0.05, allow: list[str] | None = None) -> DataFrame:
-    """``by, category, ses, n_terms`` of the sets' sides. ``sets``: ``by, side, gene``; all sets go through the
-    provider in one call."""
+def _ranked(sets: DataFrame, provider: Provider, by: tuple[str, ...], group: tuple[str, ...], top_n: int, q_cut: float, allow: list[str] | None) -> DataFrame:
+    """Top terms of every side within ``group``; all sets go through the provider in one call."""
     key = F.concat_ws("#", *by, "side")
     sets = cut(sets, "gene-sets")
     names = sets.select(key.alias("set_id"), *by, "side").distinct()
     results = allowed(provider(sets.select(key.alias("set_id"), "gene")), allow).join(names, "set_id").withColumn("key", term_key())
+    return cut(rank_terms(results, (*group, "side"), top_n, q_cut).select(*group, "side", "key", "place"), "ranked")
+
+
+def by_category(sets: DataFrame, provider: Provider, by: tuple[str, ...], top_n: int = 20, q_cut: float = 0.05, allow: list[str] | None = None) -> DataFrame:
+    """``by, category, ses, n_terms`` of the sets' sides within each category. ``sets``: ``by, side, gene``."""
     group = (*by, "category")
-    return ses(cut(rank_terms(results, (*group, "side"), top_n, q_cut).select(*group, "side", "key", "place"), "ranked"), group)
+    return ses(_ranked(sets, provider, by, group, top_n, q_cut, allow), group)
+
+
+def over_all(sets: DataFrame, provider: Provider, by: tuple[str, ...], top_n: int = 20, q_cut: float = 0.05, allow: list[str] | None = None) -> DataFrame:
+    """``by, ses, n_terms`` with one ranking over all allowed categories. A pair without any term has no row."""
+    return ses(_ranked(sets, provider, by, by, top_n, q_cut, allow), by)

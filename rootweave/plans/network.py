@@ -403,6 +403,12 @@ def ses_by_category(spark, d):
     return _pair_scores(spark, d).select("pair", "category", F.round("ses", 8).alias("ses"), "n_terms")
 
 
+def ses_pair(spark, d):
+    """SES of neighbouring diseases over one ranking of all categories."""
+    out = ses.over_all(_neighbour_pairs(spark, d), ses.local_provider(_terms(spark, d)), ("pair",), q_cut=1.0)
+    return out.select("pair", F.round("ses", 8).alias("ses"), "n_terms")
+
+
 def ses_weighted(spark, d):
     """SES of neighbouring diseases, categories weighted by their list lengths."""
     out = ses.combine(_pair_scores(spark, d), ("pair",))
@@ -528,7 +534,7 @@ QUERIES = {
         edge_typed, edges_clean, edges_clean_adme, edge_type_counts, adme_strict, adme_profile_balanced, adme_profile_lenient, adme_gate, adme_fallback,
         resolve_herb, resolve_ingredient, resolve_disease, resolve_herb_name, resolve_ingredient_like, resolve_disease_name, resolve_gated, resolve_router,
         resolve_stats, bfs_single_source, bfs_set, distance_rows, pair_distances, distance_lookup, set_distances, ora_counts, ora_enrich, ora_top_terms,
-        term_rank_fdr, ses_by_category, ses_weighted, uniform_sample, binned_sample, ses_null, ses_null_by_category, payload_id_extract, payload_edges,
+        term_rank_fdr, ses_pair, ses_by_category, ses_weighted, uniform_sample, binned_sample, ses_null, ses_null_by_category, payload_id_extract, payload_edges,
         payload_counts, edge_merge, code_gaps, kind_of_files, infos_union, table_counts,
     )
 }

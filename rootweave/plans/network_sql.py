@@ -115,6 +115,7 @@ fp as (select pair, category, k2, min(place) filter (side = 'A') a, min(place) f
 kk2 as (select sz.pair, sz.category, k, least(na, nb) n_terms, count(*) filter (a <= k and b <= k) i, count(*) filter (a <= k or b <= k) u
         from sz join (select unnest(range(1, 21)) k) on k <= least(na, nb) join fp on fp.pair = sz.pair and fp.category = sz.category group by all),
 sc as (select sz.pair, sz.category, coalesce(avg(i / u), 0) ses, least(na, nb) n_terms from sz left join kk2 on kk2.pair = sz.pair and kk2.category = sz.category group by sz.pair, sz.category, na, nb)"""
+SES_ALL = SES.replace("select pair, side, category, concat(category, ':', term) k2, row_number() over (partition by pair, side, category order by", "select pair, side, 'all' category, concat(category, ':', term) k2, row_number() over (partition by pair, side order by")
 
 ORACLES = {
     "ppi_cutoff": "select protein1, protein2, combined_score from human_ppi where combined_score >= 700",
@@ -188,6 +189,7 @@ ORACLES = {
     "term_rank_fdr": f"""{BASE}, {TERMS}, {ora()}, t as (select set_id, concat(category, ':', term) as "key", row_number() over (partition by set_id order by lq, lp, concat(category, ':', term)) place from lg where category <> 'Symbol')
         select * from t where place <= 10""",
     "ses_by_category": f"{BASE}, {TERMS}, {ora()}, {SES} select pair, category, round(ses, 8) ses, n_terms from sc",
+    "ses_pair": f"{BASE}, {TERMS}, {ora()}, {SES_ALL} select pair, round(ses, 8) ses, n_terms from sc",
     "ses_weighted": f"{BASE}, {TERMS}, {ora()}, {SES} select pair, round(coalesce(sum(ses * n_terms) / nullif(sum(n_terms), 0), 0), 8) ses, cast(sum(n_terms) as bigint) n_total from sc group by pair",
     "uniform_sample": f"""{BASE}, {FIRST}, z as (select side, count(*) n from sets group by side), h as (select side, it, node, z.n, {HASH_U} h from (select n node from gn), z, (select unnest(range(1, 11)) it)),
         r as (select side, it, node, n, row_number() over (partition by side, it order by h, node) r from h) select side, it, node from r where r <= n""",

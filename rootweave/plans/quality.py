@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rootweave.functions.ids import gene_core, protein_core, same_id
 from rootweave.functions.problems import FIELD_RULES, INGREDIENT_FIELDS, PROFILED_INGREDIENT, PROFILED_XREF
 from rootweave.operators import heavy_keys, orphans, profile
-from rootweave.session import cut, new_place
+from rootweave.session import new_place, utc
 from rootweave.sources import rejects
 from rootweave.sources.tables import load
 
@@ -49,7 +49,7 @@ def p1_live_profile(spark: SparkSession, d: str) -> DataFrame:
     is deleted (from 2022 on). The state after a load is the sum of all deltas up to it.
     """
     t = load(spark, d, "ingredient_info", "row_no", "load_no", "deleted_at", *[r.col_name for r in PROFILED_INGREDIENT])
-    gone_in = (F.year("deleted_at") - 2022) * 12 + F.month("deleted_at")
+    gone_in = (F.year(utc("deleted_at")) - 2022) * 12 + F.month(utc("deleted_at"))
     gone = t.where("deleted_at is not null").withColumn("load_no", F.greatest(F.col("load_no"), gone_in))
     store = profile.ValueCounts(spark, new_place(spark, "live-counts"))
     store.apply(
@@ -117,7 +117,7 @@ with {_CELLS_SQL}, c as (select tab_name, col_name, cast(load_no as bigint) load
 P1_LIVE_SQL = f"""
 with {_CELLS_SQL},
 s as (select tab_name, col_name, v, ok, x, load_no, 1 n from cell where tab_name = 'ingredient_info'
-      union all select tab_name, col_name, v, ok, x, greatest(load_no, (year(deleted_at) - 2022) * 12 + month(deleted_at)), -1
+      union all select tab_name, col_name, v, ok, x, greatest(load_no, (year(deleted_at at time zone 'UTC') - 2022) * 12 + month(deleted_at at time zone 'UTC')), -1
       from cell where tab_name = 'ingredient_info' and deleted_at is not null),
 c as (select tab_name, col_name, k as load_no, v, ok, x, sum(n) n from s join (select cast(unnest(range(1, 9)) as bigint) k) on k >= s.load_no
       group by all having sum(n) <> 0)
@@ -208,7 +208,7 @@ j as (select tab_name, col_name, row_no, r.k, t, count(i.k) n, count(*) filter (
         count(*) filter (i.added_at <= t and (i.deleted_at is null or t < i.deleted_at)) alive
       from r left join i on i.sc = r.sc and i.k = r.k where r.k is not null group by tab_name, col_name, row_no, r.k, t)
 select tab_name, col_name, row_no, case when n = 0 then 'missing' when later = n then 'late' else 'deleted' end reason,
-       strftime(t, '%Y-%m') seen_month from j where alive = 0"""
+       strftime(t at time zone 'UTC', '%Y-%m') seen_month from j where alive = 0"""
 P4_REPORT_SQL = f"select tab_name, col_name, seen_month, reason, count(*) n_orphans from ({P4_FOUND_SQL}) group by all"
 
 # ---- p6: rows that fail to parse

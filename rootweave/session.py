@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +43,8 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = writer.partitionBy(partition_by)
     writer.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def utc(c: str) -> Column:
+    """A timestamp whose calendar fields read as UTC, whatever the session's time zone is."""
+    return F.to_utc_timestamp(F.col(c), F.current_timezone())

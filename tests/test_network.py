@@ -202,6 +202,14 @@ def test_edges_and_resolution(spark):
     assert rows(resolve.lookup_like(names, "herb_id", ["a", "b"], "N SH")) == [("N SH", "HERB1"), ("N SH", "HERB2")]
 
 
+def test_first_and_merge(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, None), (None, 0, "z")], "k string, pos int, v string")
+    assert rows(resolve.first_by_position(df, "k", "pos")) == [("a", 1, "y"), ("b", 1, None)]
+    assert rows(resolve.merge_first(df.where("k is not null"), df.where("k = 'a'"), "k", "v")) == [("a", "x"), ("b", "b")]
+    g = simple(spark, [("a", "b")])
+    assert graph.same_nodes(g, graph.distances(g, nodes(spark, "a"))) and not graph.same_nodes(simple(spark, [("a", "c")]), graph.distances(g, nodes(spark, "a")))
+
+
 def test_payloads_and_codes(spark, tmp_path):
     text = json.dumps({"a": [{"HBIN000001": "see HBTAR000002, hbin3 and HBXX1"}], "b": "HERB000001"})
     p = spark.createDataFrame([("HBFO1", text), ("HBFO2", None), (None, text)], "code string, payload string")
