@@ -18,9 +18,10 @@ from pyarrow import csv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A record in good quoting: fields that are quoted throughout (inner quotes doubled) or hold no quote.
-_FIELD = r'(?:"(?:[^"]|"")*+"|[^",]*+)'
-WELL_QUOTED = rf"(?s)\A{_FIELD}(?:,{_FIELD})*+\z"
+#: A record in good quoting: fields that are quoted throughout (inner quotes doubled) or hold no quote. Matched
+#: by RE2 over whole vectors: linear and without recursion, so very long fields and very many fields are fine.
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+WELL_QUOTED = rf"\A{_FIELD}(?:,{_FIELD})*\z"
 # Line breaks within a record travel through the CSV reader as these two noncharacters.
 _LF, _CR = "\ufdd0", "\ufdd1"
 
@@ -128,11 +129,25 @@ def _parse(batch: pa.RecordBatch, names: list[str]) -> tuple[pa.Table, list[int]
 
 
 def _prepared(lines: DataFrame, row_no: str, text: str) -> DataFrame:
-    """``row_no, raw, quoted``: without the CR at the end, line breaks as noncharacters; null counts as ''."""
+    """``row_no, raw``: without the CR at the end, line breaks as noncharacters; null counts as ''."""
     raw = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\z", "")
-    return lines.select(F.col(row_no).cast("bigint").alias("row_no"), raw.alias("raw")).select(
-        "row_no", F.translate("raw", "\n\r", _LF + _CR).alias("raw"), F.col("raw").rlike(WELL_QUOTED).alias("quoted")
-    )
+    return lines.select(F.col(row_no).cast("bigint").alias("row_no"), F.translate(raw, "\n\r", _LF + _CR).alias("raw"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of text (one record at least), as one slice is parsed at once."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def _well_quoted(batch: pa.RecordBatch) -> pa.Array:
+    return pc.match_substring_regex(batch.column(1), WELL_QUOTED)
 
 
 def line_rejects(lines: DataFrame, names: list[str], rules: dict, row_no: str = "line_no", text: str = "raw_line") -> DataFrame:
@@ -142,11 +157,12 @@ def line_rejects(lines: DataFrame, names: list[str], rules: dict, row_no: str =
     A null or empty line has one field, so it fails with ``column_count``. Repeated lines are judged each.
     """
     def judge(batches):
-        for b in batches:
-            bad = b.filter(pc.invert(b.column(2))).column(0)
+        for b in _slices(batches):
+            quoted = _well_quoted(b)
+            bad = b.filter(pc.invert(quoted)).column(0)
             if len(bad):
                 yield pa.record_batch([bad, pa.array(["quoting"] * len(bad)), pa.array([""] * len(bad))], names=["row_no", "reason", "field_name"])
-            fine = b.filter(b.column(2))
+            fine = b.filter(quoted)
             if fine.num_rows:
                 table, wrong = _parse(fine, names)
                 if wrong:
@@ -162,8 +178,8 @@ def line_rejects(lines: DataFrame, names: list[str], rules: dict, row_no: str =
 def load_valid(lines: DataFrame, names: list[str], rules: dict, row_no: str = "line_no", text: str = "raw_line") -> DataFrame:
     """The records without any failure, as columns of strings: ``row_no`` and ``names``; '' is null."""
     def parse(batches):
-        for b in batches:
-            fine = b.filter(b.column(2))
+        for b in _slices(batches):
+            fine = b.filter(_well_quoted(b))
             if not fine.num_rows:
                 continue
             table, _ = _parse(fine, names)

@@ -168,6 +168,7 @@ LINES = [
     line(canonical_smiles="C(C"), line(canonical_smiles="C)C("), line(canonical_smiles="[[C]]"), line(canonical_smiles="[C(]C)"), line(canonical_smiles="Cé"), line(canonical_smiles="C" * 50_000),
     line(canonical_smiles='"a,b"'), line(ingredient_name='"a ""q"" b"'), line(ingredient_name='"a\nb\r\nc"'), line(ingredient_name='a"b'), line(ingredient_name='"a"b'), line(ingredient_name='"a'),
     line() + ",", line() + "\r", line() + "\r\r", "", ",", line() + ',"x"', "\r", line(molwt="0.000001"), line(ob_score="x", molwt="y", canonical_smiles="?"), ',,,,,,,,,,,,', line(ingredient_name="a\nb"), line(ob_score="1."), line(ob_score=".5"),
+    line(ingredient_name='"' + 'a""b,' * 40_000 + '"'), "," * 100_000, '"' * 99_999, line(ingredient_name='"' + 'x' * 200_000),
 ]
 
 
