@@ -44,6 +44,8 @@ _DENSE = {"Han", "Hiragana", "Katakana"}
 _FENCE = regex.compile(r"[ \t]*(```+|~~~+)")
 _LINE_UNIT = regex.compile(r"\s*(?:#+(?:\s|$)|[-*] |[0-9]+\. )")
 _PLACE = regex.compile(rf"(?P<end>[{regex.escape(_END)}]+)(?P<close>(?:[{regex.escape(_CLOSE)}]|[   ](?=»))*)(?=\s)|(?P<wide>(?:[.!?]*[{_WIDE}])++[.!?]*+)(?P<wclose>[{regex.escape(_CLOSE)}]*+)(?=\S)(?![{regex.escape(_END)}])|(?<=\p{{Thai}})(?P<gap>[^\S\n]+)(?=\S)|(?<=\S)(?P<gap2>[^\S\n]+)(?=\p{{Thai}})")
+_LINE = regex.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
+_MARK = regex.compile(r"[\"'“”‘’«»„‹›()（）\[\]「」『』【】〈〉《》]")
 _NEXT = regex.compile(r"\S{1,40}")
 _STRONG = regex.compile(r"\p{Ll}{4,}[.?]")
 _WORD = regex.compile(r"\p{Ll}{4,}\.")
@@ -62,7 +64,7 @@ def blocks(text: str):
             b -= 1
         return a, b
 
-    for line in regex.findall(r"[^\r\n]*(?:\r\n|\r|\n|$)", text):
+    for line in _LINE.findall(text):
         if not line:
             continue
         stop = at + len(line)
@@ -147,11 +149,11 @@ def _bucket(key: str) -> int:
 
 def places(text: str):
     """Possible boundaries of a paragraph: ``end of the sentence, start of the next, is a Thai space``."""
-    dense = False
+    last = 0
     for m in _PLACE.finditer(text):
-        gap = m["gap"] or m["gap2"]
-        if gap:
-            yield m.start(), m.end(), True
+        if m["gap"] or m["gap2"]:
+            if m.end() > last:  # else an end mark stands before this space
+                yield m.start(), m.end(), True
             continue
         if m["end"]:
             greek = ";" in m["end"] or ";" in m["end"]
@@ -163,6 +165,7 @@ def places(text: str):
         while start < len(text) and text[start].isspace():
             start += 1
         if start < len(text):
+            last = start
             yield m.end(), start, False
 
 
@@ -339,7 +342,7 @@ class Tagger:
 
 def _marks(text: str):
     """Quotes and brackets of a paragraph: position, mark, and whether it can only open or only close."""
-    for m in regex.finditer(r"[\"'“”‘’«»„‹›()（）\[\]「」『』【】〈〉《》]", text):
+    for m in _MARK.finditer(text):
         i, ch = m.start(), m[0]
         before, after = text[i - 1: i], text[i + 1: i + 2]
         if ch in "\"'‘’":

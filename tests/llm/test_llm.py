@@ -214,7 +214,11 @@ def test_blocks(tagger):
     assert cut(tagger, "") == [] and cut(tagger, " \n\t") == []
 
 
-@settings(max_examples=150, deadline=None)
+def test_end_mark_before_a_thai_space(tagger):
+    assert cut(tagger, "A? ก") in (["A?", "ก"], ["A? ก"])
+
+
+@settings(max_examples=1500, deadline=None)
 @given(st.text(st.sampled_from("Ab. !?\"'«»()“”„。」「\n\r\t-#1`ก  …;")))
 def test_every_character_lies_in_one_unit(tagger, text):
     seen = [0] * len(text)
