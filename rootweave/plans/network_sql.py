@@ -177,22 +177,22 @@ ORACLES = {
         select {FIN('c.v')} closest, {FIN("c.v - ((case when (select count(*) from a) <= 1 then 0 else (select avg(d) from ia) end) + (case when (select count(*) from b) <= 1 then 0 else (select avg(d) from ib) end)) / 2")} separation,
         {FIN("case when (select count(*) from ab) < (select count(*) from a) * (select count(*) from b) then 'inf'::double else (select avg(d) from ab) end")} shortest,
         {FIN("(select avg(d) from ab)")} mean_all_pairs, {FIN("(select avg(d) from na where d < 'inf'::double)")} closest_directed from c""",
-    "degree_matched_sample": f"{BASE}, {FIRST}, {SAMPLES} select pair, side, it, node from sm",
-    "proximity_null": f"{BASE}, {FIRST}, {SAMPLES}, {NULLS} select pair, it, round(d, 8) d from ds",
+    "degree_matched_sample": f"{BASE}, {FIRST}, {SAMPLES} select pair, side, cast(it as int) it, node from sm",
+    "proximity_null": f"{BASE}, {FIRST}, {SAMPLES}, {NULLS} select pair, cast(it as int) it, round(d, 8) d from ds",
     "proximity_z": f"""{BASE}, {FIRST}, {SAMPLES}, {NULLS}, o as (select pair, d from ds where it = 0),
         s as (select o.pair, avg(ds.d) mean, stddev_pop(ds.d) std, avg((ds.d <= o.d)::int) p, count(*) n from ds join o on o.pair = ds.pair where it > 0 and ds.d < 'inf'::double group by o.pair)
         select o.pair, round(o.d, 6) d, round(case when std < 1e-12 then 0 else (o.d - mean) / std end, 6) z, round(mean, 6) mean, round(std, 6) std, round(p, 6) p, n from o join s on s.pair = o.pair""",
     "ora_counts": f"{BASE}, {TERMS}, {ora()} select * from ov",
     "ora_enrich": f"{BASE}, {TERMS}, {ora()} select set_id, category, term, k, round(log10(greatest(p, 1e-300)), 4) + 0 log_p, round(log10(greatest(q, 1e-300)), 4) + 0 log_q from qv",
     "ora_top_terms": f"""{BASE}, {TERMS}, {ora()}, t as (select set_id, category, term, row_number() over (partition by set_id, category order by lq, lp, k desc, category, term) place from lg where round(q, 9) <= 0.05)
-        select * from t where place <= 20""",
+        select set_id, category, term, cast(place as int) place from t where place <= 20""",
     "term_rank_fdr": f"""{BASE}, {TERMS}, {ora()}, t as (select set_id, concat(category, ':', term) as "key", row_number() over (partition by set_id order by lq, lp, concat(category, ':', term)) place from lg where category <> 'Symbol')
-        select * from t where place <= 10""",
-    "ses_by_category": f"{BASE}, {TERMS}, {ora()}, {SES} select pair, category, round(ses, 8) ses, n_terms from sc",
-    "ses_pair": f"{BASE}, {TERMS}, {ora()}, {SES_ALL} select pair, round(ses, 8) ses, n_terms from sc",
+        select set_id, "key", cast(place as int) place from t where place <= 10""",
+    "ses_by_category": f"{BASE}, {TERMS}, {ora()}, {SES} select pair, category, round(ses, 8) ses, cast(n_terms as int) n_terms from sc",
+    "ses_pair": f"{BASE}, {TERMS}, {ora()}, {SES_ALL} select pair, round(ses, 8) ses, cast(n_terms as int) n_terms from sc",
     "ses_weighted": f"{BASE}, {TERMS}, {ora()}, {SES} select pair, round(coalesce(sum(ses * n_terms) / nullif(sum(n_terms), 0), 0), 8) ses, cast(sum(n_terms) as bigint) n_total from sc group by pair",
     "uniform_sample": f"""{BASE}, {FIRST}, z as (select side, count(*) n from sets group by side), h as (select side, it, node, z.n, {HASH_U} h from (select n node from gn), z, (select unnest(range(1, 11)) it)),
-        r as (select side, it, node, n, row_number() over (partition by side, it order by h, node) r from h) select side, it, node from r where r <= n""",
+        r as (select side, it, node, n, row_number() over (partition by side, it order by h, node) r from h) select side, cast(it as int) it, node from r where r <= n""",
     "payload_id_extract": f"with {PID} select * from pid",
     "payload_edges": f"with {PID} select distinct least({TRIM('code')}, id) node_1, greatest({TRIM('code')}, id) node_2 from pid",
     "payload_counts": f"with {PID} select p.code, count(id) n_ids from (select distinct code from pay) p left join pid on pid.code = p.code group by p.code",
