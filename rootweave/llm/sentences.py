@@ -35,6 +35,7 @@ _END = ".!?…。！？｡؟۔।॥;;"
 _WIDE = "。！？｡…"
 _CLOSE = "\"'”’“»›)]}」』）】〉》*_`"
 _OPEN = "\"'“‘«„([{¿¡"
+_QUOTE, _QUOTED = "\"“«„", "\"”»“"
 _DOTTED = regex.compile(r"\w\.[a-z]")
 _PAIRS = dict(zip("«“‘(（[「『【〈《„‹", "»”’)）]」』】〉》“›"))
 _SPACED = ("Latin", "Cyrillic", "Greek", "Hangul", "Devanagari", "Arabic", "Hebrew")
@@ -48,7 +49,9 @@ _LINE = regex.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _MARK = regex.compile(r"[\"'“”‘’«»„‹›()（）\[\]「」『』【】〈〉《》]")
 _NEXT = regex.compile(r"\S{1,40}")
 _STRONG = regex.compile(r"\p{Ll}{4,}[.?]")
-_WORD = regex.compile(r"\p{Ll}{4,}\.")
+_WORD = regex.compile(r"\p{Ll}{4,}\.|(?:\p{Lo}\p{M}*){2,}[.!?؟۔।॥]+")
+_DENSE_END = regex.compile(r".*[\p{Han}\p{Hiragana}\p{Katakana}ー\p{N}][.!?]*[。！？｡][.!?。！？｡]*", regex.S)
+_NUMBER = regex.compile(r"[0-9]{1,4}\.")
 
 
 def blocks(text: str):
@@ -101,13 +104,20 @@ def _case(c: str) -> str:
 
 
 def before(text: str, stop: int) -> str:
-    """The token that ends at ``stop`` with its end mark and closers, at most 40 characters of it."""
+    """The token that ends at ``stop`` with its end mark and closers, at most 40 characters of it. A whole number
+    with a full stop can be an ordinal, so it comes with the word before it."""
     at = stop - 1 if stop > 1 and text[stop - 1] == "»" and text[stop - 2].isspace() else stop
     low = max(0, stop - 40)
     a = at - (at < stop)
     while a > low and not text[a - 1].isspace():
         a -= 1
-    return text[a:stop]
+    if not _NUMBER.fullmatch(text, a, stop):
+        return text[a:stop]
+    while a > low and text[a - 1].isspace():
+        a -= 1
+    while a > low and not text[a - 1].isspace():
+        a -= 1
+    return " ".join(text[a:stop].split())
 
 
 def left_keys(token: str) -> tuple[str, str, str]:
@@ -292,8 +302,10 @@ class Tagger:
         if thai:
             return THAI_SPACE + max(-2.0, s)
         follows = self._cached("r", _NEXT.match(text, start)[0])
-        if s > -0.5 and _WORD.fullmatch(token):
-            follows = max(follows, -0.5)  # a plain word that does end sentences: text in small letters
+        if token[-1] in _QUOTED and text[start] in _QUOTE and start > stop:
+            s, follows = max(s, -0.5), max(follows, 0.0)  # one speaker after another
+        if s > -0.5 and (_WORD.fullmatch(token) or _DENSE_END.fullmatch(token)):
+            follows = max(follows, -0.5)  # a plain word that does end sentences: small letters or none of two cases
         return BIAS + s + follows
 
     def cut(self, text: str) -> list[tuple[int, int]]:

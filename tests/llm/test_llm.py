@@ -190,11 +190,14 @@ CASES = [
     ["А. Б. Талвин считает, что матрица не нужна.", "Там малая выборка, целая колонка и т. д.", "«Здесь ячейка. Конец.» — написал Dravo и ушёл.", "Не работает!"],
     ["Ο κ. Wexkafi λέει ότι η μέτρηση είναι διπλή.", "Γιατί η ακμή χάνει 51,9 γραμμές;", "Δεν δουλεύει!"],
     ["그는 \"표적이 비었다. 끝.\" 이라고 적었습니다.", "안 됩니다!", "왜 경로은 44.70만 반환합니까?"],
+    ["작은 행렬은 4행 뒤에 간선을 반환합니다.", "행렬이 없으면 경로을 잃습니다.", "run3.csv의 그림 9.5을 보세요."],
+    ["Die Tabelle endet in Zeile 307.", "Am 11. Mai lief die Datei noch.", "Warum verliert die Gruppe nur 18,3 Prozent?"],
+    ['"It fails."', '"Why?"', '"No idea..."', "The U.S. mirror slowly counts the herb."],
     ["डॉ. रेमन ने कहा कि तालिका छोटी है।", "यह नहीं चलता!"],
     ["قال د. رمين: \"العمود فارغ. انتهى.\" ثم خرج.", "لا يعمل!"],
     ["ทำไมตารางถึงไม่นับกราฟคะ", "ผมลองเก็บตารางแล้วแต่ยังว่างอยู่ครับ"],
 ]
-DENSE = [["他说：“靶点是空的。重来。”然后就走了。", "真的？！", "为什么索引只丢失了99.9？", "请看图4.6和文件edges.csv。"], ["「網は空です。」とケンロさんは言った。", "だめです！", "「本当？」「はい。」という会話のあと標的を返すことにした。"]]
+DENSE = [["他说：“草药是空的。重来。”然后就走了。", "如果分数是很小的，蛋白就会排序矩阵……结果还是一样。", "不行！", "如果索引是旧的，网络就会合并通路……结果还是一样。"], ["他说：“靶点是空的。重来。”然后就走了。", "真的？！", "为什么索引只丢失了99.9？", "请看图4.6和文件edges.csv。"], ["「網は空です。」とケンロさんは言った。", "だめです！", "「本当？」「はい。」という会話のあと標的を返すことにした。"]]
 
 
 @pytest.mark.parametrize("want", CASES)
