@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootweave.functions.ids import canon_pair, trim_id
+from rootweave.functions.ids import canon_pair, same_id
 
-# An id in a text, and the prefixes that are kept.
-FOUND = r"\bHB[A-Z0-9]+\b"
+# The prefixes of ids, and an id in a text, in any spelling.
 PREFIXES = ("HBIN", "HBDIS", "HBTAR", "HBCT", "HBMA", "HERB", "HBFO", "HBREF", "HBEXP")
+FOUND = rf"(?i)\b(?:{'|'.join(PREFIXES)})[0-9]+\b"
 
 
 def ids_in(payload: Column | str) -> Column:
-    """All ids in a payload, keys and values alike, as an array without repeats; null payloads have none."""
+    """All ids in a payload, keys and values alike, in capitals, as an array without repeats; null payloads have none."""
     p = F.col(payload) if isinstance(payload, str) else payload
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(p, F.lit("")), F.lit(FOUND), F.lit(0)))
-
-
-def kept(id_: Column | str) -> Column:
-    c = F.col(id_) if isinstance(id_, str) else id_
-    return c.rlike(rf"^(?:{'|'.join(PREFIXES)})[0-9]+\z")
+    found = F.regexp_extract_all(F.coalesce(p, F.lit("")), F.lit(FOUND), F.lit(0))
+    return F.array_distinct(F.transform(found, F.upper))
 
 
 def payload_ids(payloads: DataFrame) -> DataFrame:
-    """``code, id``: kept ids of every payload (``code, payload``)."""
-    return payloads.select("code", F.explode(ids_in("payload")).alias("id")).where(kept("id")).distinct()
+    """``code, id``: ids of every payload (``code, payload``); the code stays as it was given."""
+    return payloads.select("code", F.explode(ids_in("payload")).alias("id")).distinct()
 
 
 def payload_edges(payloads: DataFrame) -> DataFrame:
     """``node_1, node_2``: distinct canonical pairs of a code and the ids in its payload; a code's own id gives a self pair."""
-    ids = payload_ids(payloads.where("code is not null")).select(trim_id("code").alias("c"), F.col("id"))
+    ids = payload_ids(payloads).select(same_id("code").alias("c"), F.col("id")).where("c is not null")
     a, b = canon_pair("c", "id")
     return ids.select(a.alias("node_1"), b.alias("node_2")).distinct()
 
