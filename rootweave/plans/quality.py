@@ -46,7 +46,8 @@ def p1_live_profile(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the live cells of Ingredient_info after each load.
 
     Signed deltas: a row adds its cells in its load and takes them back in the load of the month in which it
-    is deleted (from 2022 on). The state after a load is the sum of all deltas up to it.
+    is deleted (from 2022 on). The state after a load is the sum of all deltas up to it; the last load is the
+    table's, and what is deleted after it is still alive in it.
     """
     t = load(spark, d, "ingredient_info", "row_no", "load_no", "deleted_at", *[r.col_name for r in PROFILED_INGREDIENT])
     gone_in = (F.year(utc("deleted_at")) - 2022) * 12 + F.month(utc("deleted_at"))
@@ -57,11 +58,11 @@ def p1_live_profile(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(profile.signed_counts(profile.cells(gone, PROFILED_INGREDIENT), -1))
         .groupBy("tab_name", "col_name", "load_no", "value", "formed", "x").agg(F.sum("n").alias("n"))
     )
-    deltas = store.deltas()
-    upto = deltas.select(
-        "tab_name", "col_name", "value", "formed", "x", "n",
-        F.explode(F.sequence(F.greatest("load_no", F.lit(1)), F.lit(8).cast("bigint"))).alias("load_no"),
-    ).where("load_no <= 8")
+    last, since = t.agg(F.max("load_no").cast("bigint").alias("last")), F.greatest("load_no", F.lit(1))
+    # The condition keeps later deltas out of the sequence, which would count down from them.
+    upto = store.deltas().join(F.broadcast(last), since <= F.col("last")).select(
+        "tab_name", "col_name", "value", "formed", "x", "n", F.explode(F.sequence(since, F.col("last"))).alias("load_no"),
+    )
     state = upto.groupBy("tab_name", "col_name", "load_no", "value", "formed", "x").agg(F.sum("n").alias("n")).where("n <> 0")
     m = profile.metrics(state)
     return m.select("tab_name", "col_name", "load_no", "cells", "missing", "malformed", "formed", "distinct_formed", F.round("entropy", 6).alias("entropy"))

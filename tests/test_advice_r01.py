@@ -1,5 +1,8 @@
 """Cases of the first review: each fails on the code before it."""
 
+from datetime import datetime
+
+from rootweave.plans import quality
 from rootweave.sources import payload
 
 
@@ -14,3 +17,15 @@ def test_payload_ids_of_every_prefix_in_any_spelling(spark):
     assert found == [(" hbin000002", "HBIN000002"), (" hbin000002", "HBTAR3"), (" hbin000002", "HERB000001"), ("HBFO1", "HERB000001")]
     assert rows(payload.payload_edges(p)) == [("HBFO1", "HERB000001"), ("HBIN000002", "HBIN000002"), ("HBIN000002", "HBTAR3"), ("HBIN000002", "HERB000001")]
     assert rows(payload.per_code(p.where("trim(code) <> ''"))) == [(" hbin000002", 3), ("HBFO1", 1)]
+
+
+def test_live_profile_keeps_what_is_deleted_after_the_last_load(spark, tmp_path):
+    def live(name, *cells):
+        schema = "row_no bigint, load_no int, deleted_at timestamp, numhdonors string, mollogp string, numrotatablebonds string"
+        spark.createDataFrame([(i, *c, "1", "1.0", "1") for i, c in enumerate(cells)], schema).write.parquet(str(tmp_path / name / "ingredient_info.parquet"))
+        df = quality.p1_live_profile(spark, str(tmp_path / name)).where("col_name = 'mollogp'")
+        return rows(df.select("load_no", "cells"))
+
+    late = (1, datetime(2022, 9, 3))
+    assert live("eight", (1, None), late, (8, datetime(2022, 10, 1)), (8, datetime(2022, 8, 1))) == [(n, 2) for n in range(1, 8)] + [(8, 3)]
+    assert live("nine", (1, None), late, (9, None)) == [(n, 2) for n in range(1, 10)]
