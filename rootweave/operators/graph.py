@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from rootweave.functions.ids import canon_pair
 from rootweave.session import cut
 
+# Levels of a search that are united in one plan; each further block of so many becomes a table of its own.
+BLOCK = 50
+
 
 def simple_graph(ends: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``a, b``: distinct canonical edges; null ends dropped, self-loops kept."""
@@ -61,25 +64,30 @@ def degree_bins(degree: DataFrame, bins: int = 5) -> DataFrame:
     return degree.select("node", "degree", below.alias("bin"))
 
 
-def bfs(adjacency: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
+def bfs(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
     """``key, node, d``: levels of breadth-first searches, one per ``key`` of ``seeds`` (``key, node``).
 
     A key's search starts from all its seeds at once, so ``d`` is the distance to the nearest of them. The
     searches of all keys advance together; each level is written to the shared folder, which cuts the lineage
-    and keeps the job safe from lost executors. It ends when no key finds a new node.
+    and keeps the job safe from lost executors. It ends when no key finds a new node, however deep that is.
     """
     adjacency = cut(adjacency, "adjacency")
-    levels = [cut(seeds.select("key", "node").distinct().withColumn("d", F.lit(0)), "level")]
-    while len(levels) <= max_depth:
-        step = levels[-1].join(adjacency, "node").select("key", F.col("next").alias("node")).distinct()
+    level, before, depth = cut(seeds.select("key", "node").distinct().withColumn("d", F.lit(0)), "level"), [], 0
+    blocks, levels = [], [level]
+    while True:
+        step = level.join(adjacency, "node").select("key", F.col("next").alias("node")).distinct()
         # In an undirected graph a neighbour of this level can only be new, in this level or in the one before.
-        for known in levels[-2:]:
+        for known in [*before, level]:
             step = step.join(known, ["key", "node"], "left_anti")
-        level = cut(step.withColumn("d", F.lit(len(levels))), "level")
+        before, depth = [level], depth + 1
+        level = cut(step.withColumn("d", F.lit(depth)), "level")
         if level.isEmpty():
             break
         levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+        if len(levels) > BLOCK:
+            blocks.append(cut(reduce(DataFrame.unionByName, levels), "levels"))
+            levels = []
+    return reduce(DataFrame.unionByName, [*blocks, *levels])
 
 
 def distances(graph: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from rootweave.operators import graph
 from rootweave.plans import quality
 from rootweave.sources import payload
 
@@ -29,3 +30,9 @@ def test_live_profile_keeps_what_is_deleted_after_the_last_load(spark, tmp_path)
     late = (1, datetime(2022, 9, 3))
     assert live("eight", (1, None), late, (8, datetime(2022, 10, 1)), (8, datetime(2022, 8, 1))) == [(n, 2) for n in range(1, 8)] + [(8, 3)]
     assert live("nine", (1, None), late, (9, None)) == [(n, 2) for n in range(1, 10)]
+
+
+def test_search_follows_a_long_chain_to_its_end(spark):
+    pairs = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(68)], "a string, b string")
+    found = graph.distances(graph.simple_graph(pairs), spark.createDataFrame([("n000",)], "node string"))
+    assert rows(found) == [("n000", f"n{i:03d}", i) for i in range(69)]
