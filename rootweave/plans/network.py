@@ -491,9 +491,12 @@ def edge_merge(spark, d):
 
 
 def code_gaps(spark, d):
-    """Herb codes within the range of Herb_info that no row has."""
-    ids = load(spark, d, "herb_info", "herb_id").select(same_id("herb_id").alias("code")).where(F.col("code").rlike(r"^HERB[0-9]{6,9}\z")).distinct()
-    ends = ids.agg(F.min(F.substring("code", 5, 20).cast("bigint")).alias("lo"), F.max(F.substring("code", 5, 20).cast("bigint")).alias("hi")).first()
+    """Herb codes within the range of Herb_info that no row has. Numbers that a bigint can't hold are an error, as the range would end before them."""
+    ids = load(spark, d, "herb_info", "herb_id").select(same_id("herb_id").alias("code")).where(F.col("code").rlike(r"^HERB[0-9]{6,}\z")).distinct()
+    number = F.substring("code", 5, 1 << 30).try_cast("bigint")
+    ends = ids.agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.min(F.when(number.isNull(), F.col("code"))).alias("long"), F.count_if(number.isNull()).alias("n")).first()
+    if ends["n"]:
+        raise ValueError(f"{ends['n']} herb ids are longer than a bigint, the first is {ends['long']}")
     return payload.code_range(spark, "HERB", ends["lo"], ends["hi"]).join(ids, "code", "left_anti")
 
 

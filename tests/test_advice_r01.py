@@ -2,8 +2,10 @@
 
 from datetime import datetime
 
+import pytest
+
 from rootweave.operators import graph
-from rootweave.plans import quality
+from rootweave.plans import network, quality
 from rootweave.sources import payload
 
 
@@ -36,3 +38,13 @@ def test_search_follows_a_long_chain_to_its_end(spark):
     pairs = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(68)], "a string, b string")
     found = graph.distances(graph.simple_graph(pairs), spark.createDataFrame([("n000",)], "node string"))
     assert rows(found) == [("n000", f"n{i:03d}", i) for i in range(69)]
+
+
+def test_code_gaps_counts_long_ids(spark, tmp_path):
+    def gaps(name, *ids):
+        spark.createDataFrame([(i,) for i in ids], "herb_id string").write.parquet(str(tmp_path / name / "herb_info.parquet"))
+        return rows(network.code_gaps(spark, str(tmp_path / name)))
+
+    assert gaps("ten", "HERB999999998", "herb1000000001 ", "HERBx", None) == [("HERB1000000000",), ("HERB999999999",)]
+    with pytest.raises(ValueError, match="HERB9{19}"):
+        gaps("long", "HERB000001", "HERB" + "9" * 19)
