@@ -2,8 +2,9 @@
 
 Characters are tagged boundary or inside by a linear-chain model. Only characters that end a possible sentence
 (an end mark with the closing quotes and brackets behind it, or a space in Thai) can be boundaries; for all
-others the tag is certain, so the chain runs over those places and over quotes and brackets. Its states are
-the tag and whether the text stands inside a quotation or bracket. Viterbi finds the best path.
+others the tag is certain, so the chain runs over those places and over quotes and brackets. Its state is the
+closing mark that the text waits for; transitions from tag to tag have no weight. Viterbi finds the best path.
+A Thai space outside quotes and brackets is cut by a fixed rule, whatever was trained.
 
 The emission weights are trained here, on the corpus itself and without labels: the ends of paragraphs are
 true sentence ends and their starts true starts. How often a token with its end mark ends a paragraph against
