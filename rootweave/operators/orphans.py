@@ -1,67 +1,69 @@
 """References to records that do not exist at their moment.
 
-References are first counted per key and month. A key-month that one unbroken life of the record covers is
-clean and leaves the job there. Of the rest, heavy keys (at most ``HEAVY_PARTS``, by construction) are
-checked against a broadcast of their lives, all others by a shuffle join on the key; both results are united.
+References are first counted per key and month, combined map-side. The counts name the heavy keys (at most
+``HEAVY_PARTS``): their references never shuffle but are checked against a broadcast of these keys' lives. All
+others shuffle once, by key, and meet the lives there in an anti-join at their moment; both results are united.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.session import cut, utc
 
 #: A key is heavy if it has at least 1/HEAVY_PARTS of all references; so there are at most HEAVY_PARTS.
 HEAVY_PARTS = 1000
+#: Lives of heavy keys are broadcast up to so many; beyond that the join is left to Spark.
+HEAVY_LIVES = 1_000_000
 KEY = ["scope", "key"]
 FOREVER = "9999-12-31 00:00:00"
 
 
-def _merge(spans):
-    """Sorted spans to disjoint ones. ``spans``: array of structs (start, stop)."""
-    def step(done, s):
-        last = F.element_at(done, -1)
-        joined = F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))),
-        )
-        return (
-            F.when(F.size(done) == 0, F.array(s))
-            .when(F.try_element_at(done, F.lit(-1))["stop"] >= s["start"], joined)
-            .otherwise(F.concat(done, F.array(s)))
-        )
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:timestamp,stop:timestamp>>"), step)
-
-
 def lives(records: DataFrame) -> DataFrame:
-    """Lives of every record id: ``scope, key, spans, first_added``.
+    """Lives of every record id: ``scope, key, spans, first_added, known``.
 
-    ``records``: ``scope, key, added_at, deleted_at``, any number of rows per key. ``spans`` are disjoint and
-    sorted. ``first_added`` is null if a row has no added_at (then no moment is before all rows).
-    Equal starts combine map-side, then starts of one month, then months: a key with very many rows is
-    reduced before its spans meet in one place.
+    ``records``: ``scope, key, added_at, deleted_at``, any number of rows per key. ``spans`` are disjoint.
+    ``first_added`` is null if a row has no added_at (then no moment is before all rows). Equal starts combine
+    map-side; spans that touch are joined by a running maximum of their ends, so the work is linear in the rows.
     """
     stop = F.coalesce("deleted_at", F.lit(FOREVER).cast("timestamp"))
-    alive = F.col("added_at") < F.col("stop")
     by_start = (
         records.where(F.col("key").isNotNull())
-        .select(*KEY, "added_at", stop.alias("stop"))
+        .select(*KEY, "added_at", F.when(F.col("added_at") < stop, stop).alias("stop"))
         .groupBy(*KEY, "added_at").agg(F.max("stop").alias("stop"))
     )
-    span = F.when(alive, F.struct(F.col("added_at").alias("start"), F.col("stop")))
-    by_month = by_start.groupBy(*KEY, F.trunc("added_at", "month").alias("month")).agg(
-        _merge(F.collect_list(span)).alias("spans"),
+    upto = Window.partitionBy(*KEY).orderBy("added_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.col("added_at") <= F.col("reach"), F.lit(False))
+    numbered = by_start.withColumn("reach", F.max("stop").over(before)).withColumn(
+        "span", F.sum((F.col("stop").isNotNull() & ~reached).cast("int")).over(upto)
+    )
+    spans = numbered.groupBy(*KEY, "span").agg(
+        F.min(F.when(F.col("stop").isNotNull(), F.col("added_at"))).alias("start"), F.max("stop").alias("stop"),
         F.min("added_at").alias("first"), F.bool_or(F.col("added_at").isNull()).alias("unknown"),
     )
-    return by_month.groupBy(*KEY).agg(
-        _merge(F.flatten(F.collect_list("spans"))).alias("spans"),
+    return spans.groupBy(*KEY).agg(
+        F.collect_list(F.when(F.col("stop").isNotNull(), F.struct("start", "stop"))).alias("spans"),
         F.when(~F.bool_or("unknown"), F.min("first")).alias("first_added"),
         F.lit(True).alias("known"),
     )
 
 
+def heavy_keys(refs: DataFrame, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
+    """``scope, key`` with at least 1/heavy_parts of all references, from counts per key and month.
+
+    Of m months one must hold at least 1/(heavy_parts m) of all references for a heavy key; only such keys, at
+    most heavy_parts x m, are summed over their months, so the counts don't shuffle a second time.
+    """
+    month = (F.year("t") * 12 + F.month("t")).cast("int")
+    per = cut(refs.select(*KEY, month.alias("month")).groupBy(*KEY, "month").agg(F.count(F.lit(1)).alias("n")), "reference-counts")
+    whole = per.groupBy("month").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("months")).first()
+    some = per.where(F.col("n") * (heavy_parts * whole["months"]) >= whole["n"]).select(*KEY).distinct()
+    sums = per.join(F.broadcast(some), KEY, "left_semi").groupBy(*KEY).agg(F.sum("n").alias("n"))
+    return sums.where(F.col("n") * heavy_parts >= whole["n"]).select(*KEY)
+
+
 def _reason():
     t = F.col("t")
     alive = F.exists("spans", lambda s: (s["start"] <= t) & (t < s["stop"]))
@@ -74,8 +76,8 @@ def _reason():
 
 
 def orphan_references(refs: DataFrame, records: DataFrame, heavy_parts: int = HEAVY_PARTS) -> DataFrame:
-    """Orphans among ``refs`` (``tab_name, col_name, row_no, scope, key, t``): the same columns without
-    scope and key, plus ``reason`` and ``seen_month``.
+    """Orphans among ``refs`` (``scope, key, t`` and any columns that name the reference): those columns, plus
+    ``reason`` and ``seen_month``. What travels with a reference is what ``refs`` holds, so keep it narrow.
 
     reason: ``missing`` (no row has the id), ``late`` (all rows were added after the moment), else
     ``deleted``. Null keys are no references. A reference without a moment is never covered by a life, so it
@@ -83,29 +85,16 @@ def orphan_references(refs: DataFrame, records: DataFrame, heavy_parts: int = HE
     may be empty.
     """
     refs = refs.where(F.col("key").isNotNull())
-    month = F.date_format(utc("t"), "yyyy-MM")
-    per = cut(
-        refs.groupBy(*KEY, month.alias("seen_month"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max")),
-        "reference-counts",
-    )
-    total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    heavy = per.groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") * heavy_parts >= total.scalar()).select(*KEY)
-    covered = F.exists("spans", lambda s: (s["start"] <= F.col("t_min")) & (F.col("t_max") < s["stop"]))
-    open_keys = cut(
-        per.join(lives(records), KEY, "left")
-        .where(~F.coalesce(covered, F.lit(False)))
-        .groupBy(*KEY).agg(F.any_value("spans").alias("spans"), F.any_value("first_added").alias("first_added"), F.any_value("known").alias("known")),
-        "open-keys",
-    )
-    heavy = cut(heavy, "heavy-keys")
-    hot = F.broadcast(open_keys.join(F.broadcast(heavy), KEY, "left_semi"))
-    cold = open_keys.join(F.broadcast(heavy), KEY, "left_anti")
-    out = ["tab_name", "col_name", "row_no", "reason", "seen_month"]
-    shape = lambda df: df.withColumn("reason", _reason()).withColumn("seen_month", month).where("reason is not null").select(*out)
-    found_hot = shape(refs.join(hot, KEY))
-    found_cold = shape(refs.join(F.broadcast(heavy), KEY, "left_anti").join(cold, KEY))
-    return found_hot.unionByName(found_cold)
+    heavy = cut(heavy_keys(refs, heavy_parts), "heavy-keys")
+    light_refs = refs.join(F.broadcast(heavy), KEY, "left_anti")
+    # Both sides' heavy keys leave before anything shuffles.
+    hot = cut(heavy.join(lives(records.join(F.broadcast(heavy), KEY, "left_semi")), KEY, "left"), "heavy-lives")
+    few = hot.agg(F.coalesce(F.sum(F.size(F.coalesce("spans", F.array()))), F.lit(0)).alias("n")).first()["n"] <= HEAVY_LIVES
+    found_hot = refs.join(F.broadcast(hot) if few else hot, KEY)
+    found_light = light_refs.join(lives(records), KEY, "left")
+    out = [c for c in refs.columns if c not in (*KEY, "t")]
+    shape = lambda df: df.withColumn("reason", _reason()).where("reason is not null").select(*out, "reason", F.date_format(utc("t"), "yyyy-MM").alias("seen_month"))
+    return shape(found_hot).unionByName(shape(found_light))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

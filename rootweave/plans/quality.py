@@ -158,33 +158,40 @@ min(s) score_min, max(s) score_max from k group by p"""
 # ---- p4: references without a record
 
 
+# Scopes of ids, and the columns that refer; references carry their places in these lists, not the names.
+ENTITY, GENE = 0, 1
+REFERRING = [("herb_edges", "node_1"), ("herb_edges", "node_2"), ("target_info", "ensembl_id")]
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), same_id(c).alias("key")) for c in ("node_1", "node_2")])).alias("e")
+    """``src, row_no, scope, key, t``."""
+    small = lambda n: F.lit(n).cast("tinyint")
+    ends = F.explode(F.array(*[F.struct(small(i).alias("src"), same_id(c).alias("key")) for i, (_, c) in enumerate(REFERRING[:2])])).alias("e")
     edges = load(spark, d, "herb_edges", "edge_no", "node_1", "node_2", "seen_at").select(
-        F.lit("herb_edges").alias("tab_name"), F.col("edge_no").alias("row_no"), F.lit("entity").alias("scope"), F.col("seen_at").alias("t"), ends
-    ).select("tab_name", "e.col_name", "row_no", "scope", "e.key", "t")
+        F.col("edge_no").alias("row_no"), small(ENTITY).alias("scope"), F.col("seen_at").alias("t"), ends
+    ).select("e.src", "row_no", "scope", "e.key", "t")
     genes = load(spark, d, "target_info", "row_no", "ensembl_id", "added_at").select(
-        F.lit("target_info").alias("tab_name"), F.lit("ensembl_id").alias("col_name"), "row_no", F.lit("gene").alias("scope"),
-        gene_core("ensembl_id").alias("key"), F.col("added_at").alias("t"),
+        small(2).alias("src"), "row_no", small(GENE).alias("scope"), gene_core("ensembl_id").alias("key"), F.col("added_at").alias("t"),
     )
     return edges.unionByName(genes)
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    kinds = ("herb", "formula", "ingredient", "target", "disease")
-    parts = [
-        load(spark, d, f"{k}_info", f"{k}_id", "added_at", "deleted_at").select(F.lit("entity").alias("scope"), same_id(f"{k}_id").alias("key"), "added_at", "deleted_at")
-        for k in kinds
-    ]
-    df = load(spark, d, "ensembl_xref", "ensg", "added_at", "deleted_at").select(F.lit("gene").alias("scope"), gene_core("ensg").alias("key"), "added_at", "deleted_at")
-    for p in parts:
-        df = df.unionByName(p)
+    """``scope, key, added_at, deleted_at``."""
+    part = lambda table, scope, column, key: load(spark, d, table, column, "added_at", "deleted_at").select(
+        F.lit(scope).cast("tinyint").alias("scope"), key(column).alias("key"), "added_at", "deleted_at"
+    )
+    df = part("ensembl_xref", GENE, "ensg", gene_core)
+    for k in ("herb", "formula", "ingredient", "target", "disease"):
+        df = df.unionByName(part(f"{k}_info", ENTITY, f"{k}_id", same_id))
     return df
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every orphan reference with its reason and month."""
-    return orphans.orphan_references(_references(spark, d), _records(spark, d))
+    found = orphans.orphan_references(_references(spark, d), _records(spark, d))
+    name = lambda i: F.array(*[F.lit(x[i]) for x in REFERRING])[F.col("src")]
+    return found.select(name(0).alias("tab_name"), name(1).alias("col_name"), "row_no", "reason", "seen_month")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
