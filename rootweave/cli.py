@@ -21,7 +21,7 @@ from rootweave.plans import network
 def _sets(spark: SparkSession, d: str, a_id: str, b_id: str, column: str) -> DataFrame:
     """``pair, side, node`` of two ids of any kind; an id that resolves to nothing is an error."""
     seeds = spark.createDataFrame([("A", a_id.strip().upper()), ("B", b_id.strip().upper())], "side string, id string")
-    found = network._resolver(spark, d).route(seeds.select(F.col("id").alias("query"), "id"))
+    found = network.Network(spark, d).resolver.route(seeds.select(F.col("id").alias("query"), "id"))
     sets = seeds.withColumnRenamed("id", "query").join(found, "query").select(F.lit(f"{a_id}~{b_id}").alias("pair"), "side", F.col(column).alias("node")).distinct()
     there = {r["side"] for r in sets.select("side").distinct().collect()}
     if there != {"A", "B"}:
@@ -44,7 +44,7 @@ def run_ses(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
             raise ValueError("background smaller than a set")
         drawn = sampling.uniform(background, sizes, args.randomize, args.seed)
         sets = sets.unionByName(drawn.withColumnRenamed("node", "gene").select("side", "it", "gene"))
-    scores = ses.by_category(sets, ses.local_provider(network._terms(spark, args.data)), ("it",), args.top_n, args.q_cut, args.categories)
+    scores = ses.by_category(sets, ses.local_provider(network.Network(spark, args.data).terms), ("it",), args.top_n, args.q_cut, args.categories)
     if not args.per_category:
         scores = ses.combine(scores, ("it",)).withColumn("category", F.lit("combined"))
     return [r.asDict() for r in ses.null_summary(scores, ("category",)).collect()]

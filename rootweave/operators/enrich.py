@@ -60,8 +60,13 @@ def overlaps(sets: DataFrame, terms: DataFrame, universe: int | None = None) ->
 
 
 def enrich(sets: DataFrame, terms: DataFrame, universe: int | None = None) -> DataFrame:
-    """``overlaps`` with ``p`` and ``q`` (Benjamini-Hochberg within set and category)."""
-    return adjust(overlaps(sets, terms, universe).withColumn("p", hypergeom_tail("k", "m", "n", "total")))
+    """``overlaps`` with ``p`` and ``q`` (Benjamini-Hochberg within set and category).
+
+    Few sizes occur beside many pairs, so each tail is summed once per (k, m, n, total) and joined back.
+    """
+    found, sizes = cut(overlaps(sets, terms, universe), "overlaps"), ["k", "m", "n", "total"]
+    tails = cut(found.select(*sizes).distinct().withColumn("p", hypergeom_tail(*sizes)), "tails")
+    return adjust(found.join(tails, sizes))
 
 
 def adjust(tested: DataFrame, by: tuple[str, ...] = ("set_id", "category"), tests: str = "n_tests") -> DataFrame:

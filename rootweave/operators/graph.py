@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import canon_pair
+from rootweave.operators import bits
 from rootweave.session import cut
 
 # Levels of a search that are united in one plan; each further block of so many becomes a table of its own.
@@ -64,30 +65,46 @@ def degree_bins(degree: DataFrame, bins: int = 5) -> DataFrame:
     return degree.select("node", "degree", below.alias("bin"))
 
 
-def bfs(adjacency: DataFrame, seeds: DataFrame) -> DataFrame:
+def bfs(adjacency: DataFrame, seeds: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``key, node, d``: levels of breadth-first searches, one per ``key`` of ``seeds`` (``key, node``).
 
-    A key's search starts from all its seeds at once, so ``d`` is the distance to the nearest of them. The
-    searches of all keys advance together; each level is written to the shared folder, which cuts the lineage
-    and keeps the job safe from lost executors. It ends when no key finds a new node, however deep that is.
+    A key's search starts from all its seeds at once, so ``d`` is the distance to the nearest of them. With
+    ``wanted`` (``key, node``) only these nodes come out, and a key's search ends once it has met all of its own;
+    without, it ends when it finds no new node, however deep that is.
+
+    All keys advance together as bits, so a level moves one row per edge and word of 64 keys. A level's table
+    holds per node what is new (``bits``), what was new one level before (``old``) and what is still wanted; it
+    is written to the shared folder, which cuts the lineage and keeps the job safe from lost executors.
     """
     adjacency = cut(adjacency, "adjacency")
-    level, before, depth = cut(seeds.select("key", "node").distinct().withColumn("d", F.lit(0)), "level"), [], 0
-    blocks, levels = [], [level]
+    keys = bits.number(seeds.select("key"))
+    no = F.lit(0).cast("bigint")
+    new, now = F.col("bits"), F.col("bits").bitwiseOR(F.col("old"))
+    row = lambda df, **c: df.select("word", "node", *[c.get(k, no).alias(k) for k in ("new", "seen", "now", "want")])
+    pending = row(bits.pack(seeds.select("key", "node").distinct(), keys, "node"), new=new)
+    if wanted is not None:
+        pending = pending.unionByName(row(bits.pack(wanted.select("key", "node").distinct(), keys, "node"), want=new))
+    blocks, levels, depth = [], [], 0
     while True:
-        step = level.join(adjacency, "node").select("key", F.col("next").alias("node")).distinct()
-        # In an undirected graph a neighbour of this level can only be new, in this level or in the one before.
-        for known in [*before, level]:
-            step = step.join(known, ["key", "node"], "left_anti")
-        before, depth = [level], depth + 1
-        level = cut(step.withColumn("d", F.lit(depth)), "level")
-        if level.isEmpty():
+        merged = pending.groupBy("word", "node").agg(*[F.bit_or(c).alias(c) for c in ("new", "seen", "now", "want")])
+        # In an undirected graph a neighbour of a level can only be new, in that level or in the one before.
+        found = merged.withColumn("bits", F.col("new").bitwiseAND(F.bitwise_not("seen")))
+        met, rest = F.col("bits").bitwiseAND(F.col("want")), F.col("want").bitwiseAND(F.bitwise_not("bits"))
+        level = cut(found.select("word", "node", "bits", F.col("now").alias("old"), met.alias("met"), rest.alias("want")).where("bits <> 0 or old <> 0 or want <> 0"), "level")
+        levels.append(level.select("word", "node", F.col("bits" if wanted is None else "met").alias("bits"), F.lit(depth).alias("d")).where("bits <> 0"))
+        left = level.agg(F.bool_or(F.col("bits") != 0).alias("bits"), F.bool_or(F.col("want") != 0).alias("want")).first()
+        if not left["bits"] or (wanted is not None and not left["want"]):
             break
-        levels.append(level)
         if len(levels) > BLOCK:
             blocks.append(cut(reduce(DataFrame.unionByName, levels), "levels"))
             levels = []
-    return reduce(DataFrame.unionByName, [*blocks, *levels])
+        front = level.where("bits <> 0").select("word", "node", "bits")
+        if wanted is not None:
+            mask = level.where("want <> 0").groupBy("word").agg(F.bit_or("want").alias("open"))
+            front = front.join(mask, "word").select("word", "node", F.col("bits").bitwiseAND(F.col("open")).alias("bits")).where("bits <> 0")
+        step = front.join(adjacency, "node").select("word", F.col("next").alias("node"), "bits")
+        pending, depth = row(step, new=new).unionByName(row(level, seen=now, now=new, want=F.col("want"))), depth + 1
+    return bits.unpack(reduce(DataFrame.unionByName, [*blocks, *levels]), keys).select("key", "node", "d")
 
 
 def distances(graph: DataFrame, sources: DataFrame) -> DataFrame:

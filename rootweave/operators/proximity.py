@@ -27,15 +27,35 @@ def closest_directed(graph: DataFrame, sampled: DataFrame) -> DataFrame:
     """``pair, it, d``: mean over side A of the distance to the nearest node of side B; infinity if none is reached.
 
     The distance of a to the set B is a's level in one search that starts from all of B, so the state is
-    samples x nodes and not sources x nodes. Repeated draws in A count each; repeats in B don't matter.
+    samples x nodes and not sources x nodes; the search of a sample ends with its last node of side A. Repeated
+    draws in A count each; repeats in B don't matter.
     """
     key = F.concat_ws("#", "pair", F.col("it").cast("string"))
     sampled = cut(sampled.withColumn("key", key), "samples")
-    level = g.bfs(g.neighbours(graph), sampled.where("side = 'B'").select("key", "node"))
-    a = sampled.where("side = 'A'").join(level, ["key", "node"], "left")
+    side = lambda s: sampled.where(F.col("side") == s)
+    level = g.bfs(g.neighbours(graph), side("B").select("key", "node"), side("A").select("key", "node"))
+    a = side("A").join(level, ["key", "node"], "left")
     return a.groupBy("pair", "it").agg(F.coalesce(F.avg("d"), F.lit(float("inf"))).alias("d"))
 
 
+def mean_all_pairs(graph: DataFrame, sampled: DataFrame) -> DataFrame:
+    """``pair, it, d``: mean over all pairs of a node of side A and one of side B, repeats counted, unreachable
+    pairs left out; infinity if none is reached.
+
+    One search per distinct node of any side A, shared by all samples it was drawn into, up to the nodes of the
+    sides B it meets there; pairs of a sample are counted by (a, b), never listed in one place.
+    """
+    sampled = cut(sampled.groupBy("pair", "it", "side", "node").agg(F.count(F.lit(1)).alias("n")), "samples")
+    side = lambda s, c: sampled.where(F.col("side") == s).select("pair", "it", F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    pairs = cut(side("A", "a").join(side("B", "b"), ["pair", "it"]), "sampled-pairs")
+    seeds = pairs.select(F.col("a").alias("key"), F.col("a").alias("node")).distinct()
+    level = g.bfs(g.neighbours(graph), seeds, pairs.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct())
+    level = level.select(F.col("key").alias("a"), F.col("node").alias("b"), "d")
+    n = F.when(F.col("d").isNotNull(), F.col("n_a") * F.col("n_b"))
+    met = pairs.join(level, ["a", "b"], "left").groupBy("pair", "it").agg((F.sum(F.col("d") * n) / F.sum(n)).alias("d"))
+    return met.withColumn("d", F.coalesce("d", F.lit(float("inf"))))
+
+
 def summary(values: DataFrame) -> DataFrame:
     """``pair, d, z, mean, std, p, n`` from ``pair, it, d``. Only finite samples count; the standard deviation is
     that of a population, z is 0 without spread, p the share of samples at or below the observed value."""
@@ -49,7 +69,10 @@ def summary(values: DataFrame) -> DataFrame:
     return seen.join(s, "pair").select("pair", F.col("observed").alias("d"), z.alias("z"), "mean", "std", "p", "n")
 
 
-def proximity(graph: DataFrame, sets: DataFrame, n_random: int = 100, seed: int = 42) -> DataFrame:
-    """Proximity of every pair of sets (``pair, side`` 'A' or 'B', ``node``). A pair with an empty side has no row."""
-    graph = cut(graph, "graph")
-    return summary(closest_directed(graph, samples(graph, sets, n_random, seed)))
+#: Distance of two sets by name.
+METRICS = {"closest_directed": closest_directed, "mean_all_pairs": mean_all_pairs}
+
+
+def proximity(graph: DataFrame, sets: DataFrame, n_random: int = 100, seed: int = 42, metric: str = "closest_directed") -> DataFrame:
+    """Proximity of every pair of sets (``pair, side`` 'A' or 'B', ``node``) by one of METRICS. A pair with an empty side has no row."""
+    return summary(METRICS[metric](graph, samples(graph, sets, n_random, seed)))

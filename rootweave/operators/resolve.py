@@ -5,10 +5,14 @@ Every step is an equi join; the "either end" joins are unions of two of them, so
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootweave.functions.ids import cut_version, gene_core, same_id, trim_id
+from rootweave.functions.ids import gene_core, same_id, trim_id
+from rootweave.operators import bits
+from rootweave.session import cut
 
 
 def other_ends(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -81,25 +85,43 @@ def lookup_like(table: DataFrame, id_column: str, name_columns: list[str], part:
 
 
 class Resolver:
-    """The tables that resolution walks over. ``edges`` are clean edges (``tp, node_1, node_2``)."""
+    """The tables that resolution walks over. ``edges`` are clean edges (``tp, node_1, node_2``).
+
+    What a target or gene id stands for (``node, ensg, ensp``) is worked out once and shared by all paths.
+    """
 
     def __init__(self, edges: DataFrame, kinds: DataFrame, targets: DataFrame, xref: DataFrame):
         self.pairs = edges.select(F.col("node_1").alias("a"), F.col("node_2").alias("b"), "tp")
         self.kinds, self.targets, self.xref = kinds, targets, xref
 
+    @cached_property
+    def products(self) -> DataFrame:
+        t = self.targets.select(same_id("target_id").alias("node"), gene_core("ensembl_id").alias("ensg")).where("ensg is not null")
+        named = t.unionByName(t.select(F.col("ensg").alias("node"), "ensg")).where("node is not null")
+        return cut(genes_to_proteins(named.withColumnRenamed("node", "query"), self.xref).withColumnRenamed("query", "node"), "products")
+
     def _hop(self, seeds: DataFrame, tp: str) -> DataFrame:
         return other_ends(seeds, self.pairs.where(F.col("tp") == tp).select("a", "b"))
 
     def _proteins(self, nodes: DataFrame) -> DataFrame:
-        return genes_to_proteins(targets_to_genes(nodes, self.targets), self.xref)
+        return nodes.join(self.products, "node").select("query", "ensg", "ensp").distinct()
 
     def ingredients(self, seeds: DataFrame) -> DataFrame:
         """Proteins of ingredients: ``query, ensg, ensp`` for ``seeds`` (``query, id``)."""
         return self._proteins(self._hop(seeds, "Ingredient–Target"))
 
-    def herbs(self, seeds: DataFrame) -> DataFrame:
-        """Proteins of herbs, by their ingredients."""
-        return self.ingredients(self._hop(seeds, "Herb–Ingredient").select("query", F.col("node").alias("id")))
+    def herbs(self, seeds: DataFrame, columns: tuple[str, ...] = ("ensg", "ensp")) -> DataFrame:
+        """Proteins of herbs, by their ingredients: ``query`` and ``columns``.
+
+        Each ingredient that is reached is resolved once, to a set of bits; a herb's set is the OR of its
+        ingredients' sets. Only the columns that are asked for take part.
+        """
+        drugs = cut(self._hop(seeds, "Herb–Ingredient"), "herb-ingredients")
+        found = self.ingredients(drugs.select(F.col("node").alias("query"), F.col("node").alias("id")).distinct())
+        found = cut(found.select(F.col("query").alias("node"), *columns).distinct(), "ingredient-proteins")
+        names = bits.number(found.select(*columns))
+        packed = drugs.join(bits.pack(found, names, "node"), "node")
+        return bits.unpack(packed.groupBy("word", "query").agg(F.bit_or("bits").alias("bits")), names)
 
     def diseases(self, seeds: DataFrame) -> DataFrame:
         """Proteins of diseases."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootweave.session import cut
+
 
 def draw(*parts: Column | str | int) -> Column:
     """A number below 2**60 from the first 15 hex digits of an MD5 over the parts, joined by '|'."""
@@ -23,19 +25,32 @@ def degree_matched(sets: DataFrame, buckets: DataFrame, n_random: int, seed: int
     return picked.join(buckets.select("degree", "idx", "node"), ["degree", "idx"]).select("pair", "side", "it", "node")
 
 
-def uniform(background: DataFrame, sizes: dict[str, int], n_iter: int, seed: int) -> DataFrame:
-    """``side, it, node``: for every iteration and side, ``sizes[side]`` distinct nodes of ``background`` (``node``).
+def uniform(background: DataFrame, sizes: dict[str, int], n_iter: int, seed: int, most: float = 4.0, more: int = 64) -> DataFrame:
+    """``side, it, node``: for every iteration and side, ``sizes[side]`` distinct nodes of ``background`` (``node``),
+    all of them where it has fewer.
 
-    A node's hash decides; the least are taken, ties by node. Only rows under a hash bound that lets about
-    4n + 64 nodes through are ranked (all of them where the background is smaller), so a window group holds
-    about four times the wanted sample, not the background.
+    A node's hash decides; the least are taken, ties by node. First only rows under a hash bound that lets about
+    ``most`` n + ``more`` nodes through are ranked (all of them where the background is smaller), so a window
+    group holds about four times the wanted sample, not the background. A draw that comes out short under its
+    bound is ranked again over all nodes.
     """
+    background = cut(background.select("node").distinct(), "background")
     total = max(background.count(), 1)
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.lit(n).alias("n"), F.lit((4.0 * n + 64) / total * float(1 << 60)).alias("bound")) for k, n in sizes.items()])
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.lit(min(n, total)).alias("n"), F.lit((most * n + more) / total * float(1 << 60)).alias("bound")) for k, n in sizes.items()])
     rows = background.select("node", F.explode(sides).alias("s")).select("node", "s.*")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("it")).withColumn("h", draw(seed, F.col("it"), F.col("side"), F.col("node")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("it"))
     w = Window.partitionBy("side", "it").orderBy("h", "node")
-    return rows.where(F.col("h") <= F.col("bound")).withColumn("r", F.row_number().over(w)).where("r <= n").select("side", "it", "node")
+
+    def ranked(df: DataFrame, within) -> DataFrame:
+        df = df.withColumn("h", draw(seed, F.col("it"), F.col("side"), F.col("node"))).where(within)
+        return df.withColumn("r", F.row_number().over(w)).where("r <= n").select("side", "it", "node")
+
+    first = cut(ranked(rows, F.col("h") <= F.col("bound")), "draws")
+    n = F.create_map(*[F.lit(x) for k, size in sizes.items() for x in (k, min(size, total))])
+    full = cut(first.groupBy("side", "it").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") == n[F.col("side")]).select("side", "it"), "full-draws")
+    if full.count() == n_iter * len(sizes):
+        return first
+    return first.join(full, ["side", "it"], "left_semi").unionByName(ranked(rows.join(full, ["side", "it"], "left_anti"), F.lit(True)))
 
 
 def bin_matched(targets: DataFrame, background: DataFrame, n_iter: int, seed: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,68 @@ CUTOFF, SEED, SAMPLES = 700, 42, 100
 # ---- inputs
 
 
+class Network:
+    """The tables of one query that several of its steps read; each is made once and cut."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def graph(self) -> DataFrame:
+        return cut(_graph(self.spark, self.d), "graph")
+
+    @cached_property
+    def kinds(self) -> DataFrame:
+        return cut(_kinds(self.spark, self.d), "kinds")
+
+    @cached_property
+    def xref(self) -> DataFrame:
+        return cut(resolve.clean_xref(_xref(self.spark, self.d)), "xref")
+
+    @cached_property
+    def resolver(self) -> resolve.Resolver:
+        clean = cut(edges.clean_edges(_edges(self.spark, self.d), self.kinds), "clean-edges")
+        return resolve.Resolver(clean, self.kinds, load(self.spark, self.d, "target_info", "target_id", "ensembl_id"), self.xref)
+
+    def seeds(self, kind: str) -> DataFrame:
+        return self.kinds.where(F.col("kind") == kind).select(F.col("id").alias("query"), "id")
+
+    @cached_property
+    def disease_sets(self) -> DataFrame:
+        """``set_id, gene``: the genes of every disease."""
+        return cut(self.resolver.diseases(self.seeds("Disease")).select(F.col("query").alias("set_id"), F.col("ensg").alias("gene")).distinct(), "disease-sets")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """``category, term, gene``: ingredients with the genes of their targets, and gene symbols by their first two
+        and three letters."""
+        found = self.resolver.ingredients(self.seeds("Ingredient"))
+        drugs = found.select(F.lit("Ingredient").alias("category"), F.col("query").alias("term"), F.col("ensg").alias("gene")).distinct()
+        names = self.xref.where("hgnc_symbol is not null").select(
+            F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.substring("hgnc_symbol", 1, n).alias("term")) for k, n in (("Symbol", 2), ("Family", 3))])).alias("t"),
+            F.col("ensg").alias("gene"),
+        )
+        return cut(drugs.unionByName(names.select("t.*", "gene").distinct()), "term-genes")
+
+    @cached_property
+    def first_pair(self) -> DataFrame:
+        """``pair, side, node``: the proteins of the first herb (A) and the first disease (B) that have any in the graph.
+
+        Which records reach the graph is found backward, by distinct nodes per step; only the two that are picked
+        are resolved forward.
+        """
+        r, inside = self.resolver, graph.nodes(self.graph).select(F.col("node").alias("ensp"))
+        start = r.products.join(inside, "ensp", "left_semi").select(F.lit("graph").alias("query"), F.col("node").alias("id")).distinct()
+        drugs = r._hop(start, "Ingredient–Target").select("query", F.col("node").alias("id"))
+        ends = {"A": (r._hop(drugs, "Herb–Ingredient"), "Herb", r.herbs), "B": (r._hop(start, "Target–Disease"), "Disease", r.diseases)}
+        sides = []
+        for side, (found, kind, forward) in ends.items():
+            first = resolve.by_kind(found, self.kinds, kind).agg(F.min("node").alias("id")).select(F.col("id").alias("query"), "id")
+            ensp = forward(cut(first, "first")).join(inside, "ensp", "left_semi").select(F.lit("first").alias("pair"), F.lit(side).alias("side"), F.col("ensp").alias("node"))
+            sides.append(ensp.distinct())
+        return cut(sides[0].unionByName(sides[1]), "first-pair")
+
+
 def _ppi(spark: SparkSession, d: str) -> DataFrame:
     """Core ids of both ends of every row with a possible score at or above the cutoff."""
     rows = load(spark, d, "human_ppi", "protein1", "protein2", "combined_score").where(F.col("combined_score").between(CUTOFF, 1000))
@@ -48,51 +112,6 @@ def _ingredients(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "ingredient_info", "row_no", "ingredient_id", *adme.STRICT)
 
 
-def _resolver(spark: SparkSession, d: str) -> resolve.Resolver:
-    return resolve.Resolver(cut(_clean(spark, d), "clean-edges"), _kinds(spark, d), load(spark, d, "target_info", "target_id", "ensembl_id"), _xref(spark, d))
-
-
-def _seeds(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return _kinds(spark, d).where(F.col("kind") == kind).select(F.col("id").alias("query"), "id")
-
-
-def _first_pair(spark: SparkSession, d: str) -> DataFrame:
-    """``pair, side, node``: the proteins of the first herb (A) and the first disease (B) that have any in the graph.
-
-    Which records reach the graph is found backward, by distinct nodes per step; only the two that are picked
-    are resolved forward.
-    """
-    r, inside = _resolver(spark, d), graph.nodes(_graph(spark, d)).select(F.col("node").alias("ensp"))
-    genes = resolve.clean_xref(_xref(spark, d)).join(inside, "ensp", "left_semi").select("ensg")
-    named = r.targets.select(same_id("target_id").alias("id"), gene_core("ensembl_id").alias("ensg")).join(genes, "ensg", "left_semi")
-    start = named.select(F.lit("graph").alias("query"), "id").where("id is not null").distinct()
-    drugs = r._hop(start, "Ingredient–Target").select("query", F.col("node").alias("id"))
-    ends = {"A": (r._hop(drugs, "Herb–Ingredient"), "Herb", r.herbs), "B": (r._hop(start, "Target–Disease"), "Disease", r.diseases)}
-    sides = []
-    for side, (found, kind, forward) in ends.items():
-        first = resolve.by_kind(found, _kinds(spark, d), kind).agg(F.min("node").alias("id")).select(F.col("id").alias("query"), "id")
-        ensp = forward(cut(first, "first")).join(inside, "ensp", "left_semi").select(F.lit("first").alias("pair"), F.lit(side).alias("side"), F.col("ensp").alias("node"))
-        sides.append(ensp.distinct())
-    return cut(sides[0].unionByName(sides[1]), "first-pair")
-
-
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    """``category, term, gene``: ingredients with the genes of their targets, and gene symbols by their first two
-    and three letters."""
-    found = _resolver(spark, d).ingredients(_seeds(spark, d, "Ingredient"))
-    drugs = found.select(F.lit("Ingredient").alias("category"), F.col("query").alias("term"), F.col("ensg").alias("gene")).distinct()
-    names = resolve.clean_xref(_xref(spark, d)).where("hgnc_symbol is not null").select(
-        F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.substring("hgnc_symbol", 1, n).alias("term")) for k, n in (("Symbol", 2), ("Family", 3))])).alias("t"),
-        F.col("ensg").alias("gene"),
-    )
-    return drugs.unionByName(names.select("t.*", "gene").distinct())
-
-
-def _disease_sets(spark: SparkSession, d: str) -> DataFrame:
-    found = _resolver(spark, d).diseases(_seeds(spark, d, "Disease"))
-    return found.select(F.col("query").alias("set_id"), F.col("ensg").alias("gene")).distinct()
-
-
 # ---- protein interactions and graph
 
 
@@ -213,8 +232,8 @@ def adme_profile_lenient(spark, d):
 
 def _herb_drugs(spark, d) -> DataFrame:
     """``query, id``: herbs with their ingredients."""
-    found = resolve.other_ends(_seeds(spark, d, "Herb"), _clean(spark, d).where("tp = 'Herb–Ingredient'").select(F.col("node_1").alias("a"), F.col("node_2").alias("b")))
-    return found.select("query", F.col("node").alias("id"))
+    n = Network(spark, d)
+    return n.resolver._hop(n.seeds("Herb"), "Herb–Ingredient").select("query", F.col("node").alias("id"))
 
 
 def adme_gate(spark, d):
@@ -228,17 +247,20 @@ def adme_gate(spark, d):
 
 def resolve_herb(spark, d):
     """Proteins of every herb."""
-    return _resolver(spark, d).herbs(_seeds(spark, d, "Herb")).select("query", "ensp").distinct()
+    n = Network(spark, d)
+    return n.resolver.herbs(n.seeds("Herb"), ("ensp",))
 
 
 def resolve_ingredient(spark, d):
     """Proteins of every ingredient."""
-    return _resolver(spark, d).ingredients(_seeds(spark, d, "Ingredient")).select("query", "ensp").distinct()
+    n = Network(spark, d)
+    return n.resolver.ingredients(n.seeds("Ingredient")).select("query", "ensp").distinct()
 
 
 def resolve_disease(spark, d):
     """Proteins of every disease."""
-    return _resolver(spark, d).diseases(_seeds(spark, d, "Disease")).select("query", "ensp").distinct()
+    n = Network(spark, d)
+    return n.resolver.diseases(n.seeds("Disease")).select("query", "ensp").distinct()
 
 
 HERB_NAMES = ["herb_pinyin_name", "herb_cn_name", "herb_alias_name", "herb_en_name", "herb_latin_name"]
@@ -248,34 +270,35 @@ def resolve_herb_name(spark, d):
     """Proteins of every Latin herb name, found by exact name."""
     table = load(spark, d, "herb_info", "herb_id", *HERB_NAMES)
     names = table.select(F.col("herb_latin_name").alias("query")).where("query is not null and query <> ''").distinct()
-    return _resolver(spark, d).herbs(resolve.lookup(table, "herb_id", HERB_NAMES, names)).select("query", "ensp").distinct()
+    return Network(spark, d).resolver.herbs(resolve.lookup(table, "herb_id", HERB_NAMES, names), ("ensp",))
 
 
 def resolve_ingredient_like(spark, d):
     """Proteins of the ingredients whose id or a name contains 'quito'."""
     table = load(spark, d, "ingredient_info", "ingredient_id", "ingredient_name", "ingredient_alias_name")
     seeds = resolve.lookup_like(table, "ingredient_id", ["ingredient_name", "ingredient_alias_name"], "quito")
-    return _resolver(spark, d).ingredients(seeds).select("query", "ensp").distinct()
+    return Network(spark, d).resolver.ingredients(seeds).select("query", "ensp").distinct()
 
 
 def resolve_disease_name(spark, d):
     """Proteins of every DisGeNET id."""
     table = load(spark, d, "disease_info", "disease_id", "disgenet_id")
     names = table.select(F.col("disgenet_id").alias("query")).where("query is not null and query <> ''").distinct()
-    return _resolver(spark, d).diseases(resolve.lookup(table, "disease_id", ["disgenet_id"], names)).select("query", "ensp").distinct()
+    return Network(spark, d).resolver.diseases(resolve.lookup(table, "disease_id", ["disgenet_id"], names)).select("query", "ensp").distinct()
 
 
 def resolve_gated(spark, d):
     """Proteins of the ingredients whose rows all pass the lenient profile."""
     checked = adme.profile_check(_ingredients(spark, d), "lenient").select(same_id("ingredient_id").alias("query"), "eligible").where("query is not null")
     open_ = adme.gate(checked, "query").where("open").select("query")
-    return _resolver(spark, d).ingredients(_seeds(spark, d, "Ingredient").join(open_, "query", "left_semi")).select("query", "ensp").distinct()
+    n = Network(spark, d)
+    return n.resolver.ingredients(n.seeds("Ingredient").join(open_, "query", "left_semi")).select("query", "ensp").distinct()
 
 
 def resolve_router(spark, d):
     """Genes and proteins of every record id, routed by its prefix."""
-    seeds = _kinds(spark, d).select(F.col("id").alias("query"), "id").distinct()
-    return _resolver(spark, d).route(seeds)
+    n = Network(spark, d)
+    return n.resolver.route(n.kinds.select(F.col("id").alias("query"), "id").distinct())
 
 
 def resolve_stats(spark, d):
@@ -305,8 +328,9 @@ def bfs_single_source(spark, d):
 
 def bfs_set(spark, d):
     """Distance of every protein to the nearest of the first disease's."""
-    seeds = _first_pair(spark, d).where("side = 'B'").select(F.lit("B").alias("key"), "node")
-    return graph.bfs(graph.neighbours(_graph(spark, d)), seeds).select("node", "d")
+    n = Network(spark, d)
+    seeds = n.first_pair.where("side = 'B'").select(F.lit("B").alias("key"), "node")
+    return graph.bfs(graph.neighbours(n.graph), seeds).select("node", "d")
 
 
 def _formula_distances(spark, d):
@@ -335,7 +359,8 @@ def distance_lookup(spark, d):
 
 def set_distances(spark, d):
     """closest, separation, shortest and the directed means of the first herb and the first disease."""
-    g, sets = _graph(spark, d), _first_pair(spark, d)
+    n = Network(spark, d)
+    g, sets = n.graph, n.first_pair
     a, b = (sets.where(F.col("side") == s).select("node") for s in "AB")
     out = graph.set_distances(graph.distances(g, a.unionByName(b).distinct()), a, b)
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.round(c, 8)).alias(c)
@@ -344,19 +369,21 @@ def set_distances(spark, d):
 
 def degree_matched_sample(spark, d):
     """The degree-matched draws of the flagship pair."""
-    return proximity.samples(_graph(spark, d), _first_pair(spark, d), SAMPLES, SEED)
+    n = Network(spark, d)
+    return proximity.samples(n.graph, n.first_pair, SAMPLES, SEED)
 
 
 def proximity_null(spark, d):
     """Directed distance of the flagship pair and of each of its samples."""
-    g = _graph(spark, d)
-    out = proximity.closest_directed(g, proximity.samples(g, _first_pair(spark, d), SAMPLES, SEED))
+    n = Network(spark, d)
+    out = proximity.closest_directed(n.graph, proximity.samples(n.graph, n.first_pair, SAMPLES, SEED))
     return out.select("pair", "it", F.round("d", 8).alias("d"))
 
 
 def proximity_z(spark, d):
     """Flagship: proximity of a herb and a disease with its degree-matched z-score and p."""
-    out = proximity.proximity(_graph(spark, d), _first_pair(spark, d), SAMPLES, SEED)
+    n = Network(spark, d)
+    out = proximity.proximity(n.graph, n.first_pair, SAMPLES, SEED)
     return out.select("pair", *[F.round(c, 6).alias(c) for c in ("d", "z", "mean", "std", "p")], "n")
 
 
@@ -369,24 +396,27 @@ def _log(c: str):
 
 def ora_counts(spark, d):
     """Overlap of every disease's genes with every term."""
-    return enrich.overlaps(_disease_sets(spark, d), _terms(spark, d))
+    n = Network(spark, d)
+    return enrich.overlaps(n.disease_sets, n.terms)
 
 
 def ora_enrich(spark, d):
     """Hypergeometric p and BH q of the same, as logarithms."""
-    out = enrich.enrich(_disease_sets(spark, d), _terms(spark, d))
+    n = Network(spark, d)
+    out = enrich.enrich(n.disease_sets, n.terms)
     return out.select("set_id", "category", "term", "k", _log("p"), _log("q"))
 
 
 def ora_top_terms(spark, d):
     """Top 20 terms per disease and category with q <= 0.05."""
-    out = enrich.top_terms(enrich.enrich(_disease_sets(spark, d), _terms(spark, d)), by=("set_id", "category"))
+    n = Network(spark, d)
+    out = enrich.top_terms(enrich.enrich(n.disease_sets, n.terms), by=("set_id", "category"))
     return out.select("set_id", "category", "term", "place")
 
 
-def _neighbour_pairs(spark, d) -> DataFrame:
+def _neighbour_pairs(n: Network) -> DataFrame:
     """``pair, side, gene``: each disease (A) with the next one in id order (B)."""
-    sets = cut(_disease_sets(spark, d), "disease-sets")
+    sets = n.disease_sets
     w = Window.partitionBy(F.lit(1)).orderBy("set_id")  # over the ids of a table of fixed size
     ids = sets.select("set_id").distinct().withColumn("other", F.lead("set_id").over(w)).where("other is not null")
     a = sets.join(ids, "set_id").select(F.concat_ws("~", "set_id", "other").alias("pair"), F.lit("A").alias("side"), "gene")
@@ -395,7 +425,8 @@ def _neighbour_pairs(spark, d) -> DataFrame:
 
 
 def _pair_scores(spark, d) -> DataFrame:
-    return ses.by_category(_neighbour_pairs(spark, d), ses.local_provider(_terms(spark, d)), ("pair",), q_cut=1.0)
+    n = Network(spark, d)
+    return ses.by_category(_neighbour_pairs(n), ses.local_provider(n.terms), ("pair",), q_cut=1.0)
 
 
 def ses_by_category(spark, d):
@@ -405,7 +436,8 @@ def ses_by_category(spark, d):
 
 def ses_pair(spark, d):
     """SES of neighbouring diseases over one ranking of all categories."""
-    out = ses.over_all(_neighbour_pairs(spark, d), ses.local_provider(_terms(spark, d)), ("pair",), q_cut=1.0)
+    n = Network(spark, d)
+    out = ses.over_all(_neighbour_pairs(n), ses.local_provider(n.terms), ("pair",), q_cut=1.0)
     return out.select("pair", F.round("ses", 8).alias("ses"), "n_terms")
 
 
@@ -417,34 +449,37 @@ def ses_weighted(spark, d):
 
 def term_rank_fdr(spark, d):
     """Ranked terms of every disease over all allowed categories."""
-    results = ses.allowed(ses.local_provider(_terms(spark, d))(_disease_sets(spark, d)), deny=("PMID", "TISSUES", "Symbol"))
+    n = Network(spark, d)
+    results = ses.allowed(ses.local_provider(n.terms)(n.disease_sets), deny=("PMID", "TISSUES", "Symbol"))
     out = ses.rank_terms(results.withColumn("key", ses.term_key()), ("set_id",), top_n=10, q_cut=1.0)
     return out.select("set_id", "key", "place")
 
 
 def uniform_sample(spark, d):
     """Ten draws of as many graph proteins as the flagship sets have."""
-    sets, g = _first_pair(spark, d), _graph(spark, d)
-    sizes = {r["side"]: r["n"] for r in sets.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return sampling.uniform(graph.nodes(g), sizes, 10, SEED)
+    n = Network(spark, d)
+    sizes = {r["side"]: r["n"] for r in n.first_pair.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return sampling.uniform(graph.nodes(n.graph), sizes, 10, SEED)
 
 
 def binned_sample(spark, d):
     """Ten draws matched by degree bin."""
-    bins = graph.degree_bins(graph.degrees(_graph(spark, d)))
-    targets = _first_pair(spark, d).join(bins, "node").select("side", "node", "bin")
+    n = Network(spark, d)
+    bins = graph.degree_bins(graph.degrees(n.graph))
+    targets = n.first_pair.join(bins, "node").select("side", "node", "bin")
     return sampling.bin_matched(targets, bins, 10, SEED)
 
 
 def _null_scores(spark, d, n_iter=20) -> DataFrame:
     """``it, category, ses, n_terms``: the first two diseases (it 0) and uniform draws of as many genes."""
-    sets = cut(_neighbour_pairs(spark, d), "pairs")
+    n = Network(spark, d)
+    sets = cut(_neighbour_pairs(n), "pairs")
     first = sets.where(F.col("pair") == sets.agg(F.min("pair").alias("p")).scalar())
     sizes = {r["side"]: r["n"] for r in first.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    background = resolve.clean_xref(_xref(spark, d)).select(F.col("ensg").alias("node")).distinct()
+    background = n.xref.select(F.col("ensg").alias("node")).distinct()
     drawn = sampling.uniform(background, sizes, n_iter, SEED).withColumnRenamed("node", "gene")
     both = first.select("side", F.lit(0).alias("it"), "gene").unionByName(drawn)
-    return ses.by_category(both, ses.local_provider(_terms(spark, d)), ("it",), q_cut=1.0)
+    return ses.by_category(both, ses.local_provider(n.terms), ("it",), q_cut=1.0)
 
 
 def ses_null(spark, d):

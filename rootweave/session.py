@@ -6,35 +6,78 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_scopes: list[list[str]] = []
+_applications: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach.
+    """Folder that every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Only a session without that setting (a test on one
-    machine) gets a folder of its own, removed when the process ends.
+    A session on one machine (master ``local`` or ``local[...]``) without that setting gets a temporary folder,
+    removed when the process ends. On any other master the setting is required.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="rootweave-")
         atexit.register(shutil.rmtree, place, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one. It is removed when the process ends; what a killed
+    application leaves there can be removed by hand, as no other application uses it."""
+    app = spark.sparkContext.applicationId
+    place = f"{shared_dir(spark).rstrip('/')}/rootweave/{app}"
+    if app not in _applications:
+        _applications.add(app)
+        atexit.register(remove, spark, place)
+    return place
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Delete a file or folder on any file system Spark knows; nothing if it is gone or the session has ended."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - at the end of a process there may be no JVM any more
+        pass
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside the block are removed at its end, so results must be written or collected there."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for place in _scopes.pop():
+            remove(spark, place)
+
+
 def new_place(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/rootweave/{name}-{uuid.uuid4().hex}"
+    """An unused path below the application's folder."""
+    place = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(place)
+    return place
 
 
 def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has no lineage and survives the loss of executors. Reading back costs one scan, so it is
-    used where a plan would otherwise be computed more than once.
+    used where a plan would otherwise be computed more than once. ``scratch`` or the end of the process
+    removes the table.
     """
     spark = df.sparkSession
     place = new_place(spark, name)
