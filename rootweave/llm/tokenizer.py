@@ -1,10 +1,16 @@
 """Byte-level BPE as a tokenization automaton.
 
-Merges are compiled in rank order. The gadget of a merge u+v -> w does three things to the automaton: it
-forks the state that arc u leads to and removes arc v there, it adds arc w wherever u then v could be read,
+Merges are compiled in rank order. The gadget of a merge u+v -> w does three things to the automaton over tokens:
+it forks the state that arc u leads to and removes arc v there, it adds arc w wherever u then v could be read,
 and lets arc w lead to a copy of the state v leads to. Arc w and that copy keep what held when the merge came,
 so a gadget stores only its parts and its rank; an arc of the finished automaton is read off by following
-these links (``arc``) and kept in a table. Exactly one path of arcs spells any byte string: its tokenization.
+these links (``arc``). Exactly one path of arcs spells any byte string: its tokenization.
+
+Words are encoded by a deterministic automaton over bytes (``table``) that is compiled from these arcs. Its state
+is the set of arcs that may be under way (the token before and the bytes read of the next one); since the path of
+every prefix is unique, a state has one token that ends there. Encoding follows one transition per byte, and the
+arc labels are read off backward. The transitions that spell the vocabulary are compiled before the tasks start;
+the table is sparse, and a transition between tokens that never met is compiled when it is first taken.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ from pyspark.sql import functions as F
 #: Where the public tokenizer files lie, and how their texts are split into words.
 FOLDER = os.environ.get("ROOTWEAVE_TOKENIZERS", "/opt/tokenizers")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept with their ids by one Python worker; beyond that the table starts anew.
-MEMO = 200_000
+#: Words kept with their ids by one Python worker, and states of the byte table; beyond these they start anew.
+MEMO, STATES = 200_000, 2_000_000
 
 
 def read_ranks(name: str = "byte_bpe_50k", folder: str = FOLDER) -> list[bytes]:
@@ -48,7 +54,7 @@ class Automaton:
         self.arcs: dict[int, bool] = {}
         for token, text in enumerate(tokens):
             if len(text) > 1:
-                path = self.spell(text)
+                path = self._path(text)
                 if len(path) != 2:
                     raise ValueError(f"token {token} is not one merge of earlier tokens")
                 self.left[token], self.right[token] = path
@@ -58,6 +64,36 @@ class Automaton:
             for b in text:
                 node = self.step.setdefault(node << 8 | b, len(self.step) + 1)
             self.label[node] = token
+        self.width = [len(text) for text in tokens]
+        self._start()
+        for text in tokens:
+            self.spell(text)
+
+    def _start(self) -> None:
+        """An empty table: only the start state, before the first token."""
+        self.table: dict[int, int] = {}  # state << 8 | byte -> state
+        self.ends: list[int] = [-1]  # the token that ends at a state
+        self.under_way: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]  # its (token before, node of the next)
+        self.numbers = {self.under_way[0]: 0}
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of a state by a byte."""
+        ways, ended = [], -1
+        for before, node in self.under_way[state]:
+            node = self.step.get(node << 8 | byte)
+            if node is not None:
+                ways.append((before, node))
+                token = self.label.get(node)
+                if token is not None and ended < 0 and (before < 0 or self.arc(before, token)):
+                    ended = token
+        key = (*ways, (ended, 0))
+        to = self.numbers.get(key)
+        if to is None:
+            to = self.numbers[key] = len(self.ends)
+            self.ends.append(ended)
+            self.under_way.append(key)
+        self.table[state << 8 | byte] = to
+        return to
 
     def arc(self, u: int, v: int) -> bool:
         """May token v follow token u?"""
@@ -88,13 +124,11 @@ class Automaton:
                 until, v = made_v + 1, left[v]
         return False
 
-    def spell(self, text: bytes) -> list[int]:
-        """The tokens of the one accepted path for ``text``: transitions forward, arc labels read backward."""
+    def _path(self, text: bytes) -> list[int]:
+        """The tokens of ``text`` under the merges so far, while the gadgets are built: arcs forward, labels backward."""
         n, step, label, arc = len(text), self.step, self.label, self.arc
         last, came = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            if i and last[i] < 0:
-                continue
             node = 0
             for k in range(i, n):
                 node = step.get(node << 8 | text[k])
@@ -109,6 +143,22 @@ class Automaton:
             at = came[at]
         return path[::-1]
 
+    def spell(self, text: bytes) -> list[int]:
+        """The tokens of the one accepted path for ``text``: one transition per byte, then the labels from the end."""
+        if len(self.ends) > STATES:
+            self._start()
+        table, state, states = self.table, 0, []
+        for byte in text:
+            to = table.get(state << 8 | byte)
+            state = self._compile(state, byte) if to is None else to
+            states.append(state)
+        path, at = [], len(text)
+        while at:
+            token = self.ends[states[at - 1]]
+            path.append(token)
+            at -= self.width[token]
+        return path[::-1]
+
     def __getstate__(self):
         return self.__dict__ | {"arcs": {}}
 

@@ -244,3 +244,86 @@ def test_sentences_of_a_table(spark):
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() >= 0
+
+
+# ---- second review: each of these failed on the code before it
+
+
+def test_leaks_are_the_same_for_any_blocks(spark, monkeypatch):
+    passage = "one two three four five six seven eight nine ten"
+    items = [(1, f"x {passage} y"), (2, "three four five six seven"), (3, "seven eight nine ten eleven twelve"), (3, "five six seven eight q")]
+    docs = [(1, f"A {passage.upper()} B"), (1, f"A {passage.upper()} B"), (2, "four five six seven"), (3, f"{passage} eleven. Twelve!"), (None, passage)]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    found = {}
+    for block in (10**6, 30, 5):
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", block)
+        found[block] = (sorted(map(str, leaks.leaks(d, e, 4).collect())), sorted(map(str, leaks.scrub(d, e, 4, drop_share=1.0).collect())))
+    assert found[10**6] == found[30] == found[5]
+    got = [(r["item_id"], r["longest"], r["hits"]) for r in leaks.leaks(d, e, 4).where("doc_id = 1").collect()]
+    assert sorted(got) == sorted([(1, 10, 7), (2, 5, 2), (3, 4, 2)] * 2)  # every item has its own longest run
+    got = {r["doc_id"]: r["longest"] for r in leaks.leaks(d, e, 4).where("item_id = 3").collect()}
+    assert got == {1: 4, 3: 6, None: 4}
+
+
+def test_scrub_leaves_the_rest_as_it_is(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    text = f"def f():\n    return 1\n\nSee  {item}   there.\n\n    pass"
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = leaks.scrub(d, spark.createDataFrame([(7, item)], "item_id bigint, item_text string"), drop_share=1.0).first()
+    assert got["clean_text"] == "def f():\n    return 1\n\nSee  there.\n\n    pass"
+
+
+def test_cold_groups_are_bounded_by_a_number(spark):
+    # Each of 40 groups is far below 1/20 of all rows; with a bound of 30 items all 40 still take the hot way.
+    data = [(f"g{g:02d}", f"i{i:03d}", (g * 7 + i * 13) % 50) for g in range(40) for i in range(60)]
+    df = spark.createDataFrame(data, "grp string, item string, score int")
+    plain = rows(topn.top_n(df, 3, 10**9, 20, hot_items=10**9))
+    assert rows(topn.top_n(df, 3, 10**9, 20, hot_items=30)) == plain and len(plain) == 120
+
+
+def test_word_table_grows_and_starts_anew(automaton, reference, monkeypatch):
+    monkeypatch.setattr(tokenizer, "STATES", len(automaton.ends) + 5)
+    for word in ("zqxjkvbpyf", "ñandú", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab", "漢字仮名交じり文", "ab" * 500):
+        assert automaton.spell(word.encode()) == [t for w in regex.findall(tokenizer.WORDS, word) for t in reference.encode_ordinary(w)]
+
+
+QUOTED = [
+    ["He said ‘It ends. Try again.’ and left.", "The dogs’ bowl isn’t full.", "It’s the readers’ choice."],
+    ["Er schrieb ‚Die Datei ist leer. Ende.‘ ins Protokoll.", "Das hilft nicht!"],
+    ["Er schrieb „Die Datei ist leer. Ende.“ ins Protokoll.", "Das „Blatt“ ist „neu“ und „gut“.", "Das hilft nicht!"],
+]
+
+
+@pytest.mark.parametrize("want", QUOTED)
+def test_single_quotation_marks(tagger, want):
+    assert cut(tagger, " ".join(want)) == want
+
+
+def test_chain_has_weights_between_tags(tagger):
+    (ii, ib), (bi, bb) = tagger.change
+    assert ib > ii and bi > bb  # counted, not set: boundaries alternate with other places here
+    marked = "It works. No idea."
+    assert tagger._plain_chain(marked, list(sentences.places(marked))) == tagger._chain(marked, list(sentences.places(marked)), [])
+
+
+def test_long_paragraphs_take_linear_time(tagger):
+    import time
+
+    def took(n):
+        text = 'It "fails now" and works. „Das“ geht. ' * n
+        t = time.process_time()
+        sentences._within(text)
+        found = sentences._within(text)
+        assert not any(found(stop) for stop, _, _ in list(sentences.places(text))[:50])
+        list(sentences._marks(text))
+        for stop, _, _ in sentences.places(text):
+            found(stop)
+        return time.process_time() - t
+
+    took(500)
+    assert took(16_000) < 16 * max(took(2000), 0.01)
+
+
+def test_a_kept_model_is_the_same(spark, tagger, tmp_path):
+    sentences.save(tagger.model, spark, str(tmp_path / "model"))
+    assert (sentences.restore(spark, str(tmp_path / "model")) == tagger.model).all()
