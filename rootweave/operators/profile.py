@@ -1,18 +1,21 @@
 """Column profiles from maintained value-count tables.
 
-A load turns into signed counts ``(tab_name, col_name, load_no, value, n)``: +n for cells it brings, -n for
-cells it takes back. ``ValueCounts`` keeps them as one partition per load; writing a load again replaces its
-partition, so a retried load never counts twice. All profile metrics (missing share, distinct values, range,
-entropy, distribution change) are exact sums over these counts; cells are never read again for them.
+A load turns into signed counts ``(tab_name, col_name, value, n)``: +n for cells it brings, -n for cells it takes
+back. ``ValueCounts`` is a store that takes one load at a time and keeps, beside the deltas of every load, the
+counts of all cells alive after it. All profile metrics (missing share, distinct values, range, entropy,
+distribution change) are exact sums over these counts; cells are never read again for them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rootweave.session import cut, exists
+
 KEYS = ("tab_name", "col_name", "load_no")
 
 
@@ -72,33 +75,79 @@ def cells(table: DataFrame, rules: list[ColumnRule], row_no: str = "row_no", loa
     ).select("load_no", "row_no", "c.*")
 
 
+_COUNTS = "tab_name string, col_name string, value string, formed boolean, x decimal(12,4), n bigint"
+VALUE = ["tab_name", "col_name", "value", "formed", "x"]
+
+
 class ValueCounts:
-    """Persistent signed value counts below ``path``, one partition per load."""
+    """Maintained signed value counts below ``path``: ``deltas`` has what each load changed, ``totals`` the counts of
+    the cells alive after each load, one partition per load in either.
+
+    ``apply`` and ``retract`` change one load and carry on its totals and those of the loads after it; a load that
+    comes last, the usual case, costs its own delta and one pass over the totals before it, however many loads there
+    are. Applying a load again replaces it, so a retried load never counts twice.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def apply(self, delta: DataFrame) -> None:
-        """Add (or replace) the loads that occur in ``delta``; other loads stay untouched."""
-        (
-            delta.write.partitionBy("load_no")
-            .option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite")
-            .parquet(self.path)
-        )
+    def _read(self, part: str) -> DataFrame:
+        schema = f"{_COUNTS}, load_no bigint"
+        place = f"{self.path}/{part}"
+        if not exists(self.spark, place):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(place)
+
+    def loads(self) -> list[int]:
+        """The loads in the store, in order."""
+        return sorted(r["load_no"] for r in self._read("totals").select("load_no").distinct().collect())
 
     def deltas(self) -> DataFrame:
-        return self.spark.read.schema(
-            "tab_name string, col_name string, value string, formed boolean, x decimal(12,4), n bigint, load_no bigint"
-        ).parquet(self.path)
+        """What every load brought and took back, with ``load_no``."""
+        return self._read("deltas").where("tab_name is not null")
+
+    def _write(self, part: str, load_no: int, counts: DataFrame) -> None:
+        """A marker row of no column keeps a load whose counts are empty known."""
+        mark = self.spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in (f.split(" ") for f in _COUNTS.split(", "))])
+        counts.select(*VALUE, "n").unionByName(mark).write.mode("overwrite").parquet(f"{self.path}/{part}/load_no={load_no}")
+
+    def apply(self, delta: DataFrame) -> None:
+        """Add or replace the loads that occur in ``delta`` (signed counts with ``load_no``), one after the other;
+        several rows of a value add up. Other loads' deltas stay as they are."""
+        delta = cut(delta.select(*VALUE, "n", "load_no"), "delta", partition_by="load_no").select(*VALUE, "n", "load_no")
+        for k in sorted(r["load_no"] for r in delta.select("load_no").distinct().collect()):
+            changed = delta.where(F.col("load_no") == k).groupBy(*VALUE).agg(F.sum("n").alias("n")).where("n <> 0")
+            self._write("deltas", k, changed)
+            self._carry_on(k)
+
+    def retract(self, load_no: int) -> None:
+        """Take back a load: what it changed leaves all totals."""
+        self._write("deltas", load_no, self.spark.createDataFrame([], _COUNTS))
+        self._carry_on(load_no)
+
+    def _carry_on(self, load_no: int) -> None:
+        for k in [load_no, *[x for x in self.loads() if x > load_no]]:
+            total = self.after(k - 1).select(*VALUE, "n").unionByName(self.deltas().where(F.col("load_no") == k).select(*VALUE, "n"))
+            self._write("totals", k, total.groupBy(*VALUE).agg(F.sum("n").alias("n")).where("n <> 0"))
 
     def after(self, load_no: int) -> DataFrame:
-        """Counts of the cells alive after a load: all signed counts up to it, summed."""
-        return (
-            self.deltas().where(F.col("load_no") <= load_no)
-            .groupBy("tab_name", "col_name", "value", "formed", "x").agg(F.sum("n").alias("n"))
-            .where("n <> 0")
-        )
+        """Counts of the cells alive after a load: the totals of the last load up to it."""
+        upto = [x for x in self.loads() if x <= load_no]
+        last = F.lit(False) if not upto else F.col("load_no") == upto[-1]
+        return self._read("totals").where(last & F.col("tab_name").isNotNull())
+
+    def states(self, loads: Iterable[int]) -> DataFrame:
+        """``after`` for several load numbers in one table; ``load_no`` is the number asked for."""
+        known, asked = self.loads(), {}
+        for k in loads:
+            upto = [x for x in known if x <= k]
+            if upto:
+                asked.setdefault(upto[-1], []).append(k)
+        at = F.lit(None).cast("array<bigint>")
+        for x, ks in asked.items():
+            at = F.when(F.col("load_no") == x, F.array(*[F.lit(k).cast("bigint") for k in ks])).otherwise(at)
+        rows = self._read("totals").where("tab_name is not null")
+        return rows.select(*VALUE, "n", F.explode(at).alias("load_no"))
 
 
 def signed_counts(cell_rows: DataFrame, sign: int = 1) -> DataFrame:

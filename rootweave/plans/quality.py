@@ -23,6 +23,7 @@ def _profiled(spark: SparkSession, d: str) -> list[tuple[DataFrame, list[profile
 
 
 def _value_counts(spark: SparkSession, d: str) -> profile.ValueCounts:
+    """A store that takes the tables' loads in turn."""
     store = profile.ValueCounts(spark, new_place(spark, "value-counts"))
     parts = [profile.signed_counts(cells) for cells, _ in _profiled(spark, d)]
     store.apply(parts[0].unionByName(parts[1]))
@@ -42,29 +43,26 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumns({"entropy": F.round("entropy", 6), "x_min": F.col("x_min").cast("double"), "x_max": F.col("x_max").cast("double")})
 
 
+# Year and month of load 1; a load comes every month.
+LOAD_1 = (2022, 1)
+
+
 def p1_live_profile(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the live cells of Ingredient_info after each load.
 
     Signed deltas: a row adds its cells in its load and takes them back in the load of the month in which it
-    is deleted (from 2022 on). The state after a load is the sum of all deltas up to it; the last load is the
+    is deleted. The state after a load is the sum of all deltas up to it; the last load is the
     table's, and what is deleted after it is still alive in it.
     """
     t = load(spark, d, "ingredient_info", "row_no", "load_no", "deleted_at", *[r.col_name for r in PROFILED_INGREDIENT])
-    gone_in = (F.year(utc("deleted_at")) - 2022) * 12 + F.month(utc("deleted_at"))
+    year, month = LOAD_1
+    gone_in = (F.year(utc("deleted_at")) - year) * 12 + F.month(utc("deleted_at")) - (month - 1)
     gone = t.where("deleted_at is not null").withColumn("load_no", F.greatest(F.col("load_no"), gone_in))
+    counts = [profile.signed_counts(profile.cells(rows, PROFILED_INGREDIENT), sign) for rows, sign in ((t, 1), (gone, -1))]
+    last = t.agg(F.max("load_no").alias("last")).first()["last"] or 0
     store = profile.ValueCounts(spark, new_place(spark, "live-counts"))
-    store.apply(
-        profile.signed_counts(profile.cells(t, PROFILED_INGREDIENT))
-        .unionByName(profile.signed_counts(profile.cells(gone, PROFILED_INGREDIENT), -1))
-        .groupBy("tab_name", "col_name", "load_no", "value", "formed", "x").agg(F.sum("n").alias("n"))
-    )
-    last, since = t.agg(F.max("load_no").cast("bigint").alias("last")), F.greatest("load_no", F.lit(1))
-    # The condition keeps later deltas out of the sequence, which would count down from them.
-    upto = store.deltas().join(F.broadcast(last), since <= F.col("last")).select(
-        "tab_name", "col_name", "value", "formed", "x", "n", F.explode(F.sequence(since, F.col("last"))).alias("load_no"),
-    )
-    state = upto.groupBy("tab_name", "col_name", "load_no", "value", "formed", "x").agg(F.sum("n").alias("n")).where("n <> 0")
-    m = profile.metrics(state)
+    store.apply(counts[0].unionByName(counts[1]).where(F.col("load_no") <= last))
+    m = profile.metrics(store.states(range(1, last + 1)))
     return m.select("tab_name", "col_name", "load_no", "cells", "missing", "malformed", "formed", "distinct_formed", F.round("entropy", 6).alias("entropy"))
 
 

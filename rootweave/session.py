@@ -53,6 +53,12 @@ def remove(spark: SparkSession, place: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, place: str) -> bool:
+    """Whether there is a file or folder at ``place``, on any file system Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are cut inside the block are removed at its end, so results must be written or collected there."""

@@ -6,33 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.operators.edges import merge_edges
+from rootweave.session import exists, remove
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """The table at ``path`` is ``df`` from now on."""
+def replace(df: DataFrame, path: str, original: str | None = None) -> None:
+    """The table at ``path`` is ``df`` from now on; the table it was made from is dropped if ``original`` names it."""
     df.write.mode("overwrite").parquet(path)
+    if original is not None:
+        remove(df.sparkSession, original)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Append the rows whose keys the table doesn't hold, one per key; returns what was appended.
 
-    Of several new rows of a key one stays (which one is not defined). A table that isn't there is made.
+    Of several new rows of a key the least one stays. A table that isn't there is made.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates(keys)
+    fresh = df.groupBy(*keys).agg(F.min(F.struct(*[c for c in df.columns if c not in keys] or keys)).alias("r")).select(*keys, *[f"r.{c}" for c in df.columns if c not in keys])
     if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     fresh.write.mode("append").parquet(path)
     return fresh
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file or folder at ``path``, on any file system Spark knows."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once (``keys, n``): what a unique index would refuse."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -190,3 +190,33 @@ def test_table_rejects(spark):
     values = [("50", "0.5", "10", "CC"), (None, "", None, ""), ("101", "1.1", "0", "("), (" 5", "5", "5001", "[C")]
     df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "row_no bigint, " + ", ".join(f"{f} string" for f in fields))
     assert rows(rejects.table_rejects(df, FIELD_RULES)) == sorted([(i, "value", f) for i in (2, 3) for f in fields])
+
+
+def test_store_of_value_counts_load_by_load(spark):
+    def delta(load_no, *cells):
+        df = spark.createDataFrame([(i, load_no, *c, None) for i, c in enumerate(cells)], CELLS)
+        return profile.signed_counts(profile.cells(df, PROFILED_INGREDIENT))
+
+    def state(store, k):
+        return rows(store.after(k).select("col_name", F.coalesce("value", F.lit("-")), "n"))
+
+    one, two, four = delta(1, ("3", "1.0", None), ("3", "x", "4")), delta(2, ("5", "1.0", "4")), delta(4, ("3", None, "7"))
+    better = delta(2, ("6", "1.0", "4"), ("6", "1.0", "4"))
+    store = profile.ValueCounts(spark, new_place(spark, "t"))
+    for d in (one, two, four):
+        store.apply(d)
+    store.apply(better)  # load 2 comes again, otherwise
+    rebuilt = profile.ValueCounts(spark, new_place(spark, "t"))
+    rebuilt.apply(one.unionByName(better).unionByName(four))
+    assert store.loads() == rebuilt.loads() == [1, 2, 4]
+    for k in (0, 1, 2, 3, 4, 99):
+        assert state(store, k) == state(rebuilt, k)
+    assert state(store, 3) == state(store, 2) and ("numhdonors", "6", 2) in state(store, 4) and state(store, 0) == []
+    store.retract(2)
+    assert state(store, 2) == state(store, 1) and ("numhdonors", "6", 2) not in state(store, 4)
+    assert rows(store.deltas().select("load_no").distinct()) == [(1,), (4,)]
+    store.apply(four.withColumn("n", -F.col("n")).withColumn("load_no", F.lit(9).cast("bigint")))  # a load of takings back
+    assert state(store, 9) == state(store, 1)
+    both = store.states([2, 9])
+    assert rows(both.where("load_no = 2").select("col_name", "n")) == rows(store.after(2).select("col_name", "n"))
+    assert {r["load_no"] for r in profile.metrics(both).collect()} == {2, 9}
