@@ -1,7 +1,8 @@
 """Command line: proximity of two records, SES of two records, edges from payload files.
 
 python -m rootweave.cli proximity --data DIR --a-id HERB000001 --b-id HBDIS000001 [--random-time 100] [--seed 42]
-python -m rootweave.cli ses --data DIR --a-id ... --b-id ... [--top-n 20] [--q-cut 0.05] [--per-category] [--randomize N]
+python -m rootweave.cli ses --data DIR --a-id ... --b-id ... [--top-n 20] [--q-cut 0.05] [--categories functional] [--per-category]
+    [--randomize N] [--bg ppi|xref] [--degree-matched]
 python -m rootweave.cli payloads --input JSON --output TABLE
 """
 
@@ -14,7 +15,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootweave.operators import graph, proximity, resolve, sampling, ses
+from rootweave.operators import proximity, ses
 from rootweave.plans import network
 
 
@@ -30,21 +31,23 @@ def _sets(spark: SparkSession, d: str, a_id: str, b_id: str, column: str) -> Dat
 
 
 def run_proximity(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
-    g = network._graph(spark, args.data)
+    g = network.Network(spark, args.data).graph
     out = proximity.proximity(g, _sets(spark, args.data, args.a_id, args.b_id, "ensp"), args.random_time, args.seed)
     return [r.asDict() for r in out.collect()]
 
 
 def run_ses(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
-    sets = _sets(spark, args.data, args.a_id, args.b_id, "ensg").select("side", F.lit(0).alias("it"), F.col("node").alias("gene"))
+    n = network.Network(spark, args.data)
+    sets = _sets(spark, args.data, args.a_id, args.b_id, "ensp").select("side", "node")
+    drawn = None
     if args.randomize:
-        sizes = {r["side"]: r["n"] for r in sets.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-        background = resolve.clean_xref(network._xref(spark, args.data)).select(F.col("ensg").alias("node")).distinct()
-        if background.count() < max(sizes.values()):
+        background = network.background(n, args.bg)
+        most = sets.groupBy("side").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if background.count() < most:
             raise ValueError("background smaller than a set")
-        drawn = sampling.uniform(background, sizes, args.randomize, args.seed)
-        sets = sets.unionByName(drawn.withColumnRenamed("node", "gene").select("side", "it", "gene"))
-    scores = ses.by_category(sets, ses.local_provider(network.Network(spark, args.data).terms), ("it",), args.top_n, args.q_cut, args.categories)
+        drawn = network.random_sets(n, sets, background, args.randomize, args.seed, args.bg == "ppi" and args.degree_matched)
+    allow = ses.PRESETS[args.categories] if args.categories in ses.PRESETS else args.categories.split(",")
+    scores = network.set_scores(n, sets, drawn, args.top_n, args.q_cut, allow)
     if not args.per_category:
         scores = ses.combine(scores, ("it",)).withColumn("category", F.lit("combined"))
     return [r.asDict() for r in ses.null_summary(scores, ("category",)).collect()]
@@ -76,7 +79,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             s.add_argument("--top-n", type=int, default=20)
             s.add_argument("--q-cut", type=float, default=0.05)
-            s.add_argument("--categories", nargs="*")
+            s.add_argument("--categories", default="functional", help="go, pathways, functional, all, or names joined by commas")
+            s.add_argument("--bg", choices=["ppi", "xref"], default="ppi")
+            s.add_argument("--degree-matched", action="store_true")
             s.add_argument("--per-category", action="store_true")
             s.add_argument("--randomize", type=int, default=0)
     s = sub.add_parser("payloads")

@@ -66,7 +66,13 @@ def degree_bins(degree: DataFrame, bins: int = 5) -> DataFrame:
 
 
 def bfs(adjacency: DataFrame, seeds: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """``key, node, d``: levels of breadth-first searches, one per ``key`` of ``seeds`` (``key, node``).
+    """``key, node, d``: levels of breadth-first searches, one per ``key`` of ``seeds`` (``key, node``). See ``levels``."""
+    found, keys = levels(adjacency, seeds, wanted)
+    return bits.unpack(found, keys).select("key", "node", "d")
+
+
+def levels(adjacency: DataFrame, seeds: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The levels of ``bfs`` as bits (``word, node, bits, d``), and the numbers of the keys (``key, n``).
 
     A key's search starts from all its seeds at once, so ``d`` is the distance to the nearest of them. With
     ``wanted`` (``key, node``) only these nodes come out, and a key's search ends once it has met all of its own;
@@ -84,27 +90,27 @@ def bfs(adjacency: DataFrame, seeds: DataFrame, wanted: DataFrame | None = None)
     pending = row(bits.pack(seeds.select("key", "node").distinct(), keys, "node"), new=new)
     if wanted is not None:
         pending = pending.unionByName(row(bits.pack(wanted.select("key", "node").distinct(), keys, "node"), want=new))
-    blocks, levels, depth = [], [], 0
+    blocks, parts, depth = [], [], 0
     while True:
         merged = pending.groupBy("word", "node").agg(*[F.bit_or(c).alias(c) for c in ("new", "seen", "now", "want")])
         # In an undirected graph a neighbour of a level can only be new, in that level or in the one before.
         found = merged.withColumn("bits", F.col("new").bitwiseAND(F.bitwise_not("seen")))
         met, rest = F.col("bits").bitwiseAND(F.col("want")), F.col("want").bitwiseAND(F.bitwise_not("bits"))
         level = cut(found.select("word", "node", "bits", F.col("now").alias("old"), met.alias("met"), rest.alias("want")).where("bits <> 0 or old <> 0 or want <> 0"), "level")
-        levels.append(level.select("word", "node", F.col("bits" if wanted is None else "met").alias("bits"), F.lit(depth).alias("d")).where("bits <> 0"))
+        parts.append(level.select("word", "node", F.col("bits" if wanted is None else "met").alias("bits"), F.lit(depth).alias("d")).where("bits <> 0"))
         left = level.agg(F.bool_or(F.col("bits") != 0).alias("bits"), F.bool_or(F.col("want") != 0).alias("want")).first()
         if not left["bits"] or (wanted is not None and not left["want"]):
             break
-        if len(levels) > BLOCK:
-            blocks.append(cut(reduce(DataFrame.unionByName, levels), "levels"))
-            levels = []
+        if len(parts) > BLOCK:
+            blocks.append(cut(reduce(DataFrame.unionByName, parts), "levels"))
+            parts = []
         front = level.where("bits <> 0").select("word", "node", "bits")
         if wanted is not None:
             mask = level.where("want <> 0").groupBy("word").agg(F.bit_or("want").alias("open"))
             front = front.join(mask, "word").select("word", "node", F.col("bits").bitwiseAND(F.col("open")).alias("bits")).where("bits <> 0")
         step = front.join(adjacency, "node").select("word", F.col("next").alias("node"), "bits")
         pending, depth = row(step, new=new).unionByName(row(level, seen=now, now=new, want=F.col("want"))), depth + 1
-    return bits.unpack(reduce(DataFrame.unionByName, [*blocks, *levels]), keys).select("key", "node", "d")
+    return reduce(DataFrame.unionByName, [*blocks, *parts]), keys
 
 
 def distances(graph: DataFrame, sources: DataFrame) -> DataFrame:

@@ -51,12 +51,34 @@ def clean_xref(xref: DataFrame) -> DataFrame:
     return x.groupBy("ensg", "ensp").agg(F.min("hgnc_symbol").alias("hgnc_symbol"), F.min("uniprot").alias("uniprot"))
 
 
-def map_ids(ids: DataFrame, column: str, xref: DataFrame, source: str, goal: str) -> DataFrame:
-    """Distinct pairs ``source, goal`` for the ids in ``column``, with symbol and UniProt id."""
+def map_ids(ids: DataFrame, column: str, xref: DataFrame | None, source: str, goal: str) -> DataFrame:
+    """Distinct pairs ``source, goal`` for the ids in ``column``, with symbol and UniProt id.
+
+    Ids without a partner drop out. Without a cross-reference table (None) every id stands for itself.
+    """
     wanted = ids.select(gene_core(column).alias(source)).where(F.col(source).isNotNull()).distinct()
+    if xref is None:
+        none = F.lit(None).cast("string")
+        return wanted.select(source, F.col(source).alias(goal), none.alias("hgnc_symbol"), none.alias("uniprot"))
     return clean_xref(xref).join(wanted, source, "left_semi").select(source, goal, "hgnc_symbol", "uniprot")
 
 
+def raw_ends(names: DataFrame, edges: DataFrame, label: str | None = None) -> DataFrame:
+    """``query, node``: the other ends of raw edges (``node_1, node_2, tp``) that have one of the ``names`` (``query,
+    name``) at either end, compared trimmed and in capitals; null ends lead nowhere.
+
+    ``label`` is a LIKE pattern for the edge's type in small letters; a table without ``tp`` isn't filtered by it.
+    Where both ends carry names of the query, the second end is the one that comes out.
+    """
+    if label is not None and "tp" in {c.lower() for c in edges.columns}:
+        edges = edges.where(F.lower("tp").like(label))
+    ends = edges.select(same_id("node_1").alias("a"), same_id("node_2").alias("b"))
+    wanted = names.select("query", same_id("name").alias("name")).where("name is not null").distinct()
+    first = wanted.join(ends, wanted["name"] == ends["a"]).select("query", F.col("b").alias("node"))
+    second = wanted.join(ends, wanted["name"] == ends["b"]).select("query", "a", "b").join(wanted.withColumnRenamed("name", "a"), ["query", "a"], "left_anti")
+    return first.unionByName(second.select("query", F.col("a").alias("node"))).where("node is not null").distinct()
+
+
 def by_kind(nodes: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
     """Nodes (``query, node``) of one kind."""
     ids = kinds.where(F.col("kind") == kind).select(F.col("id").alias("node"))

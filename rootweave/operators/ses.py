@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from rootweave.session import cut
 
-# Categories that are left out unless asked for, and the preset of functional ones.
+# Categories that are left out unless asked for, and the presets; 'all' takes every category.
 DENIED = ("PMID", "TISSUES")
-FUNCTIONAL = ("Process", "Function", "KEGG", "WikiPathways")
+PRESETS = {
+    "go": ["Process", "Function", "Component"],
+    "pathways": ["KEGG", "Reactome", "WikiPathways"],
+    "functional": ["Process", "Function", "Component", "KEGG", "Reactome", "WikiPathways"],
+    "all": None,
+}
 
 
 def allowed(results: DataFrame, allow: list[str] | None = None, deny: tuple[str, ...] = DENIED) -> DataFrame:
@@ -22,6 +27,13 @@ def allowed(results: DataFrame, allow: list[str] | None = None, deny: tuple[str,
     return results.where(F.coalesce(~c.isin([x.upper() for x in deny]), F.lit(True)))
 
 
+def joined_ids(sets: DataFrame, separator: str = "\r") -> DataFrame:
+    """``set_id, ids``: the distinct ids of a set as one text in order, the form in which a remote provider takes a
+    set. A request holds a whole set, so this is for sets that fit one."""
+    ids = sets.where("set_id is not null and gene is not null").groupBy("set_id").agg(F.array_sort(F.collect_set("gene")).alias("ids"))
+    return ids.select("set_id", F.array_join("ids", separator).alias("ids"))
+
+
 def term_key(category: str = "category", term_id: str = "term_id", term: str = "term") -> Column:
     """``category:term_id``, or ``category:term`` where the id is missing or blank."""
     name = F.coalesce(F.nullif(F.trim(F.col(term_id)), F.lit("")), F.col(term))

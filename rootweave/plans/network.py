@@ -301,6 +301,37 @@ def resolve_router(spark, d):
     return n.resolver.route(n.kinds.select(F.col("id").alias("query"), "id").distinct())
 
 
+def resolve_raw(spark, d):
+    """Targets of every ingredient, found by its id or any of its names at raw edges whose type names both kinds."""
+    table = load(spark, d, "ingredient_info", "ingredient_id", "ingredient_name", "ingredient_alias_name")
+    names = table.select(same_id("ingredient_id").alias("query"), F.explode(F.array("ingredient_id", "ingredient_name", "ingredient_alias_name")).alias("name"))
+    return resolve.raw_ends(names.where("query is not null"), load(spark, d, "herb_edges", "node_1", "node_2", "tp"), "%ingredient%target%")
+
+
+def resolve_raw_disease(spark, d):
+    """Other ends of every disease's raw edges, whatever their type."""
+    ids = load(spark, d, "disease_info", "disease_id").select(same_id("disease_id").alias("query"), F.col("disease_id").alias("name"))
+    return resolve.raw_ends(ids.where("query is not null"), load(spark, d, "herb_edges", "node_1", "node_2"))
+
+
+def ensg_passed_through(spark, d):
+    """The genes that targets name, mapped without a cross-reference table: each stands for itself."""
+    return resolve.map_ids(load(spark, d, "target_info", "ensembl_id"), "ensembl_id", None, "ensg", "ensp")
+
+
+def core_to_string_ids(spark, d):
+    """Every protein of the interactions with the first of its ids with species, or itself where it has none."""
+    ends = load(spark, d, "human_ppi", "protein1", "protein2").select(F.explode(F.array("protein1", "protein2")).alias("x"))
+    ids = ends.select(protein_core("x").alias("core"), trim_id("x").alias("string_id")).where("core is not null")
+    return resolve.merge_first(ids, ids.where(F.startswith("string_id", F.lit("9606."))), "core", "string_id")
+
+
+def first_names(spark, d):
+    """The first row of every ingredient id in the order of row_no, with its name."""
+    rows = load(spark, d, "ingredient_info", "ingredient_id", "row_no", "ingredient_name")
+    return resolve.first_by_position(rows.select(same_id("ingredient_id").alias("ingredient_id"), "row_no", "ingredient_name"), "ingredient_id", "row_no")
+
+
 def resolve_stats(spark, d):
     """Distinct genes and proteins per resolved id."""
     return resolve.resolution_stats(resolve_router(spark, d))
@@ -387,6 +418,26 @@ def proximity_z(spark, d):
     return out.select("pair", *[F.round(c, 6).alias(c) for c in ("d", "z", "mean", "std", "p")], "n")
 
 
+def proximity_mean_z(spark, d):
+    """The flagship pair by the mean over all pairs of proteins, with its degree-matched z-score and p."""
+    n = Network(spark, d)
+    out = proximity.proximity(n.graph, n.first_pair, 10, SEED, "mean_all_pairs")
+    return out.select("pair", *[F.round(c, 6).alias(c) for c in ("d", "z", "mean", "std", "p")], "n")
+
+
+def proximity_many(spark, d):
+    """Proximity of every disease with the next one in id order, all pairs in one plan, three draws each."""
+    n = Network(spark, d)
+    w = Window.partitionBy(F.lit(1)).orderBy("query")  # over the ids of a table of fixed size
+    found = cut(n.resolver.diseases(n.seeds("Disease")).select("query", F.col("ensp").alias("node")).distinct(), "disease-proteins")
+    ids = found.select("query").distinct().withColumn("other", F.lead("query").over(w)).where("other is not null")
+    pair = F.concat_ws("~", "query", "other").alias("pair")
+    a = found.join(ids, "query").select(pair, F.lit("A").alias("side"), "node")
+    b = found.withColumnRenamed("query", "other").join(ids, "other").select(pair, F.lit("B").alias("side"), "node")
+    out = proximity.proximity(n.graph, a.unionByName(b), 3, SEED)
+    return out.select("pair", *[F.round(c, 6).alias(c) for c in ("d", "z", "mean", "std", "p")], "n")
+
+
 # ---- enrichment
 
 
@@ -470,29 +521,110 @@ def binned_sample(spark, d):
     return sampling.bin_matched(targets, bins, 10, SEED)
 
 
-def _null_scores(spark, d, n_iter=20) -> DataFrame:
+def background(n: Network, source: str) -> DataFrame:
+    """``node``: the proteins that random sets are drawn from: all of the interactions ('ppi') or of the cross
+    references ('xref')."""
+    if source == "xref":
+        return n.xref.select(F.col("ensp").alias("node")).distinct()
+    return cut(background_ppi(n.spark, n.d), "background")
+
+
+def random_sets(n: Network, sets: DataFrame, nodes: DataFrame, n_iter: int, seed: int, matched: bool) -> DataFrame:
+    """``side, it, node``: random sets as large as ``sets`` (``side, node``); ``matched`` draws them by the bins of
+    their degrees in the interactions, a node without any having degree 0."""
+    if not matched:
+        sizes = {r["side"]: r["n"] for r in sets.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return sampling.uniform(nodes, sizes, n_iter, seed)
+    degree = graph.degrees(_all_pairs(n.spark, n.d))
+    known = cut(nodes.join(degree, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree")), "background-degrees")
+    bins, edges_ = graph.degree_bins(known), graph.bin_edges(known)
+    below = sum(((F.lit(e) < F.coalesce("degree", F.lit(0))).cast("int") for e in edges_), F.lit(0))
+    targets = sets.join(degree, "node", "left").select("side", "node", below.alias("bin"))
+    return sampling.bin_matched(targets, bins, n_iter, seed)
+
+
+def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of all interaction rows in the form of background sets; rows with an end that is no protein are left out."""
+    rows = load(spark, d, "human_ppi", "protein1", "protein2").select(ensp_or_null("protein1").alias("a"), ensp_or_null("protein2").alias("b"))
+    return rows.where("a is not null and b is not null")
+
+
+def set_scores(n: Network, sets: DataFrame, drawn: DataFrame | None = None, top_n: int = 20, q_cut: float = 0.05, allow: list[str] | None = None) -> DataFrame:
+    """``it, category, ses, n_terms`` of protein sets (``side, node``; it 0) and of random ones (``side, it, node``),
+    all of them mapped to genes first."""
+    both = sets.select("side", F.lit(0).alias("it"), "node")
+    both = both if drawn is None else both.unionByName(drawn.select("side", "it", "node"))
+    genes = n.xref.select(F.col("ensp").alias("node"), F.col("ensg").alias("gene"))
+    mapped = both.join(genes, "node").select("side", "it", "gene").distinct()
+    return ses.by_category(mapped, ses.local_provider(n.terms), ("it",), top_n, q_cut, allow)
+
+
+NULL_DRAWS = 100
+
+
+def _first_diseases(n: Network) -> DataFrame:
+    """``side, gene``: the first two neighbouring diseases."""
+    sets = cut(_neighbour_pairs(n), "pairs")
+    return sets.where(F.col("pair") == sets.agg(F.min("pair").alias("p")).scalar()).select("side", "gene")
+
+
+def _null_scores(spark, d, n_iter=NULL_DRAWS) -> DataFrame:
     """``it, category, ses, n_terms``: the first two diseases (it 0) and uniform draws of as many genes."""
     n = Network(spark, d)
-    sets = cut(_neighbour_pairs(n), "pairs")
-    first = sets.where(F.col("pair") == sets.agg(F.min("pair").alias("p")).scalar())
+    first = cut(_first_diseases(n), "first-pair")
     sizes = {r["side"]: r["n"] for r in first.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    background = n.xref.select(F.col("ensg").alias("node")).distinct()
-    drawn = sampling.uniform(background, sizes, n_iter, SEED).withColumnRenamed("node", "gene")
+    genes = n.xref.select(F.col("ensg").alias("node")).distinct()
+    drawn = sampling.uniform(genes, sizes, n_iter, SEED).withColumnRenamed("node", "gene")
     both = first.select("side", F.lit(0).alias("it"), "gene").unionByName(drawn)
     return ses.by_category(both, ses.local_provider(n.terms), ("it",), q_cut=1.0)
 
 
+def _null_report(values: DataFrame, by: str) -> DataFrame:
+    out = ses.null_summary(values, (by,))
+    return out.select(by, *[F.round(c, 8).alias(c) for c in ("ses", "p_emp", "null_mean", "null_std")], "n_null")
+
+
 def ses_null(spark, d):
     """Combined SES of the first two diseases against random gene sets."""
-    values = ses.combine(cut(_null_scores(spark, d), "null-scores"), ("it",)).withColumn("pair", F.lit("first"))
-    out = ses.null_summary(values, ("pair",))
-    return out.select("pair", *[F.round(c, 8).alias(c) for c in ("ses", "p_emp", "null_mean", "null_std")], "n_null")
+    return _null_report(ses.combine(cut(_null_scores(spark, d), "null-scores"), ("it",)).withColumn("pair", F.lit("first")), "pair")
 
 
 def ses_null_by_category(spark, d):
     """The same per category."""
-    out = ses.null_summary(cut(_null_scores(spark, d), "null-scores"), ("category",))
-    return out.select("category", *[F.round(c, 8).alias(c) for c in ("ses", "p_emp", "null_mean", "null_std")], "n_null")
+    return _null_report(cut(_null_scores(spark, d), "null-scores"), "category")
+
+
+def _first_disease_proteins(n: Network) -> DataFrame:
+    """``side, node``: all proteins of the first two diseases that have any."""
+    ids = cut(n.disease_sets.select("set_id").distinct().orderBy("set_id").limit(2), "first-diseases")
+    side = F.when(F.col("set_id") == ids.agg(F.min("set_id").alias("s")).scalar(), "A").otherwise("B")
+    found = n.resolver.diseases(ids.select(F.col("set_id").alias("query"), F.col("set_id").alias("id")))
+    return cut(found.select(F.col("query").alias("set_id"), F.col("ensp").alias("node")).distinct().select(side.alias("side"), "node"), "first-proteins")
+
+
+def ses_ensp(spark, d):
+    """SES per category of the first two diseases, given as protein lists that are mapped to genes first."""
+    n = Network(spark, d)
+    return set_scores(n, _first_disease_proteins(n), q_cut=1.0).select("category", F.round("ses", 8).alias("ses"), "n_terms")
+
+
+def ses_null_matched_sets(spark, d):
+    """The degree-matched random protein sets of the first two diseases, drawn from all interactions."""
+    n = Network(spark, d)
+    return random_sets(n, _first_disease_proteins(n), background(n, "ppi"), NULL_DRAWS, SEED, True)
+
+
+def ses_null_matched(spark, d):
+    """SES per category of the first two diseases' proteins against degree-matched random protein sets."""
+    n = Network(spark, d)
+    sets = _first_disease_proteins(n)
+    drawn = random_sets(n, sets, background(n, "ppi"), NULL_DRAWS, SEED, True)
+    return _null_report(cut(set_scores(n, sets, drawn, q_cut=1.0), "null-scores"), "category")
+
+
+def set_texts(spark, d):
+    """Every disease's genes as one text, as a remote provider takes them."""
+    return ses.joined_ids(Network(spark, d).disease_sets, ",")
 
 
 # ---- payloads, codes, tables
@@ -571,7 +703,8 @@ QUERIES = {
         degree_buckets, degree_bins, background_ppi, background_string_ids, background_xref, ppi_fallback_scan, xref_import_clean, ensg_to_ensp, ensp_to_ensg,
         edge_typed, edges_clean, edges_clean_adme, edge_type_counts, adme_strict, adme_profile_balanced, adme_profile_lenient, adme_gate, adme_fallback,
         resolve_herb, resolve_ingredient, resolve_disease, resolve_herb_name, resolve_ingredient_like, resolve_disease_name, resolve_gated, resolve_router,
-        resolve_stats, bfs_single_source, bfs_set, distance_rows, pair_distances, distance_lookup, set_distances, ora_counts, ora_enrich, ora_top_terms,
+        resolve_raw, resolve_raw_disease, ensg_passed_through, core_to_string_ids, first_names, proximity_mean_z, proximity_many,
+        ses_ensp, ses_null_matched_sets, ses_null_matched, set_texts, resolve_stats, bfs_single_source, bfs_set, distance_rows, pair_distances, distance_lookup, set_distances, ora_counts, ora_enrich, ora_top_terms,
         term_rank_fdr, ses_pair, ses_by_category, ses_weighted, uniform_sample, binned_sample, ses_null, ses_null_by_category, payload_id_extract, payload_edges,
         payload_counts, edge_merge, code_gaps, kind_of_files, infos_union, table_counts,
     )

@@ -117,6 +117,71 @@ kk2 as (select sz.pair, sz.category, k, least(na, nb) n_terms, count(*) filter (
 sc as (select sz.pair, sz.category, coalesce(avg(i / u), 0) ses, least(na, nb) n_terms from sz left join kk2 on kk2.pair = sz.pair and kk2.category = sz.category group by sz.pair, sz.category, na, nb)"""
 SES_ALL = SES.replace("select pair, side, category, concat(category, ':', term) k2, row_number() over (partition by pair, side, category order by", "select pair, side, 'all' category, concat(category, ':', term) k2, row_number() over (partition by pair, side order by")
 
+SES_TAIL = SES[SES.index("r2 as"):]
+# Sets named it#side, and their scores per category.
+NULL_SES = f"""rt as (select split_part(set_id, '#', 1) pair, split_part(set_id, '#', 2) side, category, concat(category, ':', term) k2,
+  row_number() over (partition by set_id, category order by lq, lp, concat(category, ':', term)) place from lg), {SES_TAIL}"""
+
+
+def null_report(scores: str, by: str) -> str:
+    return f"""o as (select {by}, ses from {scores} where it = 0), nu as (select {by}, ses from {scores} where it > 0)
+    select o.{by}, round(o.ses, 8) ses, round((count(*) filter (round(nu.ses, 9) >= round(o.ses, 9)) + 1) / (count(nu.ses) + 1), 8) p_emp, round(avg(nu.ses), 8) null_mean,
+    round(case when count(nu.ses) = 1 then 0 else stddev_samp(nu.ses) end, 8) null_std, count(nu.ses) n_null from o left join nu on nu.{by} = o.{by} group by o.{by}, o.ses"""
+
+
+def binned(draws: int) -> str:
+    """Draws by bin from ``bg`` (node, bin) for ``tgt`` (side, node, bin)."""
+    h = HASH("concat('42|', it, '|', side, '|', need_bin, '|', node)")
+    return f"""nd as (select side, bin need_bin, count(*) need from tgt group by all), bz as (select bin, count(*) size from bg group by bin),
+    rc as (select *, coalesce(sum(size) over (partition by side, need_bin order by abs(bin - need_bin), bin rows between unbounded preceding and 1 preceding), 0) bef from nd, bz),
+    tk2 as (select *, least(size, need - bef) take from rc where least(size, need - bef) > 0),
+    rr as (select side, need_bin, bg.bin, take, node, it, row_number() over (partition by side, it, need_bin, bg.bin order by {h}, node) r
+           from bg join tk2 on tk2.bin = bg.bin, (select unnest(range(1, {draws + 1})) it)),
+    bd as (select side, cast(it as int) it, node from rr where r <= take)"""
+
+
+def cuts(of: str) -> str:
+    return f"cu as (select distinct round(unnest(quantile_cont(degree::double, [0, 0.2, 0.4, 0.6, 0.8, 1.0])), 9) x from {of})"
+
+
+FIRST_SETS = "fs as (select case when set_id = (select min(set_id) from st) then 'A' else 'B' end side, gene from st where set_id in (select distinct set_id from st order by 1 limit 2))"
+NULL_SETS = f"""{FIRST_SETS}, fz as (select side, count(*) n from fs group by side), gb as (select distinct ensg node from x),
+hu as (select side, it, node, n, {HASH("concat('42|', it, '|', side, '|', node)")} h from gb, fz, (select unnest(range(1, 101)) it)),
+du as (select side, it, node, n, row_number() over (partition by side, it order by h, node) r from hu),
+sn as (select distinct concat(it, '#', side) set_id, gene from (select 0 it, side, gene from fs union all select it, side, node from du where r <= n))"""
+STRIP = lambda c: f"(case when starts_with({TRIM(c)}, '9606.') then substr({TRIM(c)}, 6) else {TRIM(c)} end)"
+ENSP = lambda c: f"(case when starts_with({STRIP(c)}, 'ENSP') then split_part({STRIP(c)}, '.', 1) end)"
+FIRST_PROTEINS = "fp2 as (select distinct case when query = (select min(query) from dp) then 'A' else 'B' end side, ensp node from dp where query in (select distinct query from dp order by 1 limit 2))"
+MATCHED = f"""{FIRST_PROTEINS}, ap as (select {ENSP('protein1')} a, {ENSP('protein2')} b from human_ppi),
+ad as (select node, count(*) degree from (select a node from ap where a is not null and b is not null union all select b from ap where a is not null and b is not null) group by node),
+bb as (select n.node, coalesce(ad.degree, 0) degree from (select a node from ap where a is not null union select b from ap where b is not null) n left join ad on ad.node = n.node),
+{cuts('bb')}, bg as (select node, cast((select count(*) from cu where x < degree) as int) bin from bb),
+tgt as (select side, fp2.node, cast((select count(*) from cu where x < coalesce(ad.degree, 0)) as int) bin from fp2 left join ad on ad.node = fp2.node), {binned(100)}"""
+MAPPED = lambda rows: f"sn as (select distinct concat(it, '#', side) set_id, x.ensg gene from ({rows}) r join x on x.ensp = r.node)"
+RAW_NAMES = f"nm as (select distinct {id_sql('ingredient_id')} query, {id_sql('v')} n from (select ingredient_id, unnest([ingredient_id, ingredient_name, ingredient_alias_name]) v from ingredient_info) where {id_sql('ingredient_id')} is not null and {id_sql('v')} is not null)"
+
+
+def raw_ends(where: str = "true") -> str:
+    return f"""rw as (select {id_sql('node_1')} a, {id_sql('node_2')} b from herb_edges where {where})
+    select distinct query, node from (select query, b node from rw join nm on nm.n = a union all select m.query, a from rw join nm m on m.n = b
+    where not exists (select 1 from nm k where k.query = m.query and k.n = a)) where node is not null"""
+
+
+MANY = f"""dq as (select distinct query, ensp node from dp), dl as (select query, lead(query) over (order by query) other from (select distinct query from dq)),
+sets as (select pair, side, node from (select concat(dl.query, '~', other) pair, 'A' side, node from dl join dq on dq.query = dl.query where other is not null
+  union all select concat(dl.query, '~', other), 'B', node from dl join dq on dq.query = dl.other) where node in (select n from gn))"""
+SAMPLES_N = lambda n: SAMPLES.replace("range(1, 101)", f"range(1, {n + 1})")
+MANY_NULLS = """bf(pair, it, n, d) as (select distinct pair, it, node, 0 from sm where side = 'B' union select pair, it, u.m, bf.d + 1 from bf join u on u.n = bf.n where bf.d < 8),
+lv as (select pair, it, n, min(d) d from bf group by all),
+ds as (select sm.pair, sm.it, coalesce(avg(lv.d), 'inf'::double) d from sm left join lv on lv.pair = sm.pair and lv.it = sm.it and lv.n = sm.node where side = 'A' group by all)"""
+MEAN_NULLS = """bf(s, n, d) as (select distinct node, node, 0 from sm where side = 'A' union select bf.s, u.m, bf.d + 1 from bf join u on u.n = bf.n where bf.d < 14),
+lv as (select s, n, min(d) d from bf group by s, n),
+ds as (select p.pair, p.it, coalesce(avg(lv.d), 'inf'::double) d from sm p join sm q on q.pair = p.pair and q.it = p.it and q.side = 'B' left join lv on lv.s = p.node and lv.n = q.node where p.side = 'A' group by all)"""
+Z = """o as (select pair, d from ds where it = 0),
+s as (select o.pair, avg(ds.d) mean, stddev_pop(ds.d) std, avg((ds.d <= o.d)::int) p, count(*) n from ds join o on o.pair = ds.pair where it > 0 and ds.d < 'inf'::double group by o.pair)
+select o.pair, round(o.d, 6) d, round(case when std < 1e-12 then 0 else (o.d - mean) / std end, 6) z, round(mean, 6) mean, round(std, 6) std, round(p, 6) p, n from o join s on s.pair = o.pair"""
+KIND_SQL = "case " + " ".join(f"when regexp_matches(lower(regexp_extract(file_name, '([^/\\\\]*)$', 1)), '(^|[^a-z]){k}s?([^a-z]|$)') then '{k}'" for k in ("disease", "formula", "ingredient", "target", "herb")) + " end"
+
 ORACLES = {
     "ppi_cutoff": "select protein1, protein2, combined_score from human_ppi where combined_score >= 700",
     "ppi_strip_prefix": "select case when starts_with(protein1, '9606.') then substr(protein1, 6) else protein1 end p1, case when starts_with(protein2, '9606.') then substr(protein2, 6) else protein2 end p2 from human_ppi",
@@ -200,9 +265,26 @@ ORACLES = {
         f as (select {id_sql('node_1')} a, {id_sql('node_2')} b from e) select distinct least(a, b) node_1, greatest(a, b) node_2 from f where a is not null and b is not null""",
     "code_gaps": f"""with i as (select distinct {id_sql('herb_id')} c from herb_info where regexp_full_match({id_sql('herb_id')}, 'HERB[0-9]{{6,9}}')),
         r as (select unnest(range((select min(substr(c, 5)::bigint) from i), (select max(substr(c, 5)::bigint) from i) + 1)) k) select format('HERB{{:06d}}', k) code from r where format('HERB{{:06d}}', k) not in (from i)""",
-    "kind_of_files": "select file_name, count(*) n_lines, 'ingredient' kind from ingredient_raw group by file_name",
+    "kind_of_files": f"select file_name, count(*) n_lines, {KIND_SQL} kind from ingredient_raw group by file_name",
     "infos_union": f"""select distinct 'Herb' kind, {id_sql('herb_id')} id, herb_en_name name from herb_info union all select distinct 'Ingredient', {id_sql('ingredient_id')}, ingredient_name from ingredient_info
         union all select distinct 'Target', {id_sql('target_id')}, ensembl_id from target_info union all select distinct 'Disease', {id_sql('disease_id')}, disgenet_id from disease_info
         union all select distinct 'Formula', {id_sql('formula_id')}, null from formula_info""",
     "table_counts": " union all ".join(f"select '{t}' tab_name, count(*) n_rows from {t}" for t in "human_ppi herb_edges ensembl_xref herb_info ingredient_info target_info disease_info formula_info".split()),
+    "binned_sample": f"""{BASE}, {FIRST}, {DEG}, {cuts('deg')}, bg as (select node, cast((select count(*) from cu where x < degree) as int) bin from deg),
+        tgt as (select side, sets.node, bin from sets join bg on bg.node = sets.node), {binned(10)} select * from bd""",
+    "ses_null": f"""{BASE}, {TERMS}, {NULL_SETS}, {ora('sn')}, {NULL_SES}, cb as (select 'first' pair, cast(pair as int) it, coalesce(sum(ses * n_terms) / nullif(sum(n_terms), 0), 0) ses from sc group by all), {null_report('cb', 'pair')}""",
+    "ses_null_by_category": f"{BASE}, {TERMS}, {NULL_SETS}, {ora('sn')}, {NULL_SES}, cb as (select category, cast(pair as int) it, ses from sc), {null_report('cb', 'category')}",
+    "ses_ensp": f"{BASE}, {TERMS}, {FIRST_PROTEINS}, {MAPPED('select 0 it, side, node from fp2')}, {ora('sn')}, {NULL_SES} select category, round(ses, 8) ses, cast(n_terms as int) n_terms from sc",
+    "ses_null_matched_sets": f"{BASE}, {DIS}, {MATCHED} select * from bd",
+    "ses_null_matched": f"""{BASE}, {TERMS}, {MATCHED}, {MAPPED('select 0 it, side, node from fp2 union all select it, side, node from bd')}, {ora('sn')}, {NULL_SES},
+        cb as (select category, cast(pair as int) it, ses from sc), {null_report('cb', 'category')}""",
+    "set_texts": f"{BASE}, {DIS} select query set_id, string_agg(distinct ensg, ',' order by ensg) ids from dp group by query",
+    "proximity_mean_z": f"{BASE}, {FIRST}, {SAMPLES_N(10)}, {MEAN_NULLS}, {Z}",
+    "proximity_many": f"{BASE}, {PPI}, {DIS}, {MANY}, {SAMPLES_N(3)}, {MANY_NULLS}, {Z}",
+    "resolve_raw": f"with {RAW_NAMES}, " + raw_ends("lower(tp) like '%ingredient%target%'"),
+    "resolve_raw_disease": f"with nm as (select distinct {id_sql('disease_id')} query, {id_sql('disease_id')} n from disease_info where {id_sql('disease_id')} is not null), {raw_ends()}",
+    "ensg_passed_through": f"select distinct {GENE('ensembl_id')} ensg, {GENE('ensembl_id')} ensp, null::varchar hgnc_symbol, null::varchar uniprot from target_info where {GENE('ensembl_id')} is not null",
+    "core_to_string_ids": f"""select core, coalesce(min(t) filter (starts_with(t, '9606.')), core) string_id from (select {core_sql('p')} core, {TRIM('p')} t from (select protein1 p from human_ppi union all select protein2 from human_ppi))
+        where core is not null group by core""",
+    "first_names": f"select {id_sql('ingredient_id')} ingredient_id, min(row_no) row_no, arg_min(ingredient_name, row_no) ingredient_name from ingredient_info where {id_sql('ingredient_id')} is not null group by 1",
 }

@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 from rootweave.functions.ids import gene_core
 from rootweave.operators.graph import simple_graph
 
-# Kinds in the order in which a file name is searched for them, and names to look for.
+# Kinds in the order in which a file name is searched for them, separators, and names to look for, each
+# in the order in which it is tried.
 KIND_ORDER = ("disease", "formula", "ingredient", "target", "herb")
 SEPARATORS = (",", "\t", "|", ";")
-PAIR_TABLES = ("STRING_PPI", "Human_PPI", "PPI", "string_ppi", "human_ppi", "edges")
-PAIR_COLUMNS = (("protein1", "protein2"), ("u", "v"), ("source", "target"), ("node1", "node2"), ("a", "b"))
+PREFERRED_TABLE = "STRING_PPI"
+PAIR_TABLES = ("Human_PPI", "STRING_PPI", "PPI", "ppi", "edges")
+PAIR_COLUMNS = (("protein1", "protein2"), ("node1", "node2"), ("a", "b"), ("source", "target"))
 XREF_COLUMNS = {
-    "ensg": ("ensg", "gene stable id", "ensembl_gene_id", "gene_id"), "ensp": ("ensp", "protein stable id", "ensembl_peptide_id", "protein_id"),
-    "hgnc_symbol": ("hgnc_symbol", "hgnc symbol", "symbol", "gene name"), "uniprot": ("uniprot", "uniprotkb/swiss-prot id", "uniprot_id"),
+    "ensg": ("Ensembl Gene ID", "Gene stable ID", "Gene ID", "ensg", "Ensembl_ID", "Ensembl_id"),
+    "ensp": ("Ensembl Protein ID", "Protein stable ID", "Protein ID", "ensp"),
+    "hgnc_symbol": ("HGNC symbol", "Gene name", "HGNC Symbol", "hgnc_symbol", "Gene", "Symbol"),
+    "uniprot": ("UniProtKB/Swiss-Prot ID", "UniProtKB ID", "Uniprot ID", "uniprot", "UniProtKB accession"),
 }
 _SPACE = r"^[\s ﻿]+|[\s ]+$"
 
@@ -56,25 +60,38 @@ def guess_key(columns: Iterable[str], kind: str) -> str | None:
     return guess_column([c for c in columns if c.lower() in (f"{kind.lower()}_id", "id")], [f"{kind}_id", "id"]) or next((c for c in columns if c.lower().endswith("_id")), None)
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """The words of the header line, and all other lines that aren't blank as ``value``. Spark's CSV reader takes the
+    first line of every file off by its position; with a separator that no text holds, a line is one field."""
+    df = spark.read.csv(path, header=True, sep="\x01", quote="", escape="\x02", inferSchema=False, encoding="UTF-8")
+    if not df.columns:
+        raise ValueError(f"{path} has no header")
+    return df.columns[0].lstrip("\ufeff").split(), df.toDF("value").where(F.trim("value") != "")
+
+
+def read_delimited_spaces(spark: SparkSession, path: str) -> DataFrame:
+    """A header line and rows whose fields are split by any white space; blank lines are skipped."""
+    names, rows = _lines(spark, path)
+    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    return rows.select(parts.alias("p")).select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(names)])
+
+
+def read_delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A delimited file with header: separator from the header line, all strings, trimmed, without repeats.
 
-    '' is null; a BOM is dropped; records of a wrong width keep the fields they have.
+    '' is null; a BOM is dropped; records of a wrong width keep the fields they have. ``multi_line`` reads line breaks
+    within quotes as part of the field; such a file can't be split among tasks.
     """
-    head = spark.read.text(path).limit(1).collect()
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     if not head:
         raise ValueError(f"{path} has no header")
-    line = head[0]["value"].lstrip("﻿")
+    line = head[0]["value"].lstrip("\ufeff")
     sep = max(SEPARATORS, key=line.count)
     if not line.count(sep):
-        names = line.split()
-        parts = F.split(F.trim("value"), r"\s+")
-        rows = spark.read.text(path).where(F.trim("value") != "").select(parts.alias("p"))
-        rows = rows.where(F.concat_ws(" ", "p") != " ".join(names))
-        df = rows.select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(names)])
+        df = read_delimited_spaces(spark, path)
     else:
-        df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, mode="PERMISSIVE", nullValue="", encoding="UTF-8", escape='"')
-        df = df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
+        df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, mode="PERMISSIVE", nullValue="", encoding="UTF-8", escape='"', multiLine=multi_line)
+        df = df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
     return df.select(*[F.nullif(F.regexp_replace(f"`{c}`", _SPACE, ""), F.lit("")).alias(c) for c in df.columns]).distinct()
 
 
@@ -96,16 +113,6 @@ def read_ppi(spark: SparkSession, path: str, cutoff: int = 700) -> DataFrame:
     return df.select("protein1", "protein2", F.col("combined_score").try_cast("int").alias("combined_score")).where(F.col("combined_score") >= cutoff)
 
 
-def read_delimited_spaces(spark: SparkSession, path: str) -> DataFrame:
-    """A header line and rows whose fields are split by any white space; blank lines are skipped."""
-    head = spark.read.text(path).where(F.trim("value") != "").first()
-    if head is None:
-        raise ValueError(f"{path} has no header")
-    names = head["value"].split()
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("p"))
-    return rows.where(F.get("p", F.lit(0)) != names[0]).select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(names)])
-
-
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """An edge CSV as it is: all strings, repeats kept."""
     return spark.read.csv(path, header=True, inferSchema=False, nullValue="")
@@ -142,7 +149,11 @@ def read_xref(spark: SparkSession, path: str) -> DataFrame:
     """A cross-reference file under any known headers as ``ensg, ensp, hgnc_symbol, uniprot`` (the latter two null
     if absent). Clean it with ``resolve.clean_xref``."""
     df = read_delimited(spark, path)
-    found = {k: guess_column(df.columns, names) for k, names in XREF_COLUMNS.items()}
+    free, found = list(df.columns), {}
+    for k, names in XREF_COLUMNS.items():
+        found[k] = guess_column(free, names)
+        if found[k]:
+            free.remove(found[k])  # 'Gene' is part of 'Gene stable ID' too; a column serves once
     if not found["ensg"] or not found["ensp"]:
         raise ValueError(f"no gene or protein column among {df.columns}")
     return df.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in found.items()])
@@ -151,7 +162,7 @@ def read_xref(spark: SparkSession, path: str) -> DataFrame:
 def scan_pairs(tables: dict[str, DataFrame], preferred: str | None = None, columns: tuple[str, str] | None = None) -> DataFrame:
     """``a, b`` from the first known table with known columns. None known: an error that says what was there."""
     names = {t.lower(): t for t in tables}
-    for t in [preferred or "", *PAIR_TABLES]:
+    for t in [preferred or PREFERRED_TABLE, *PAIR_TABLES]:
         df = tables.get(names.get(t.lower(), ""))
         if df is None:
             continue

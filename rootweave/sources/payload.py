@@ -43,16 +43,21 @@ def code_range(spark: SparkSession, prefix: str, low: int, high: int) -> DataFra
     return spark.range(low, high + 1).select(F.format_string("%s%06d", F.lit(prefix), F.col("id")).alias("code"))
 
 
-def code_list(spark: SparkSession, prefix: str, code: str | None = None, codes: list[str] | None = None, codes_file: str | None = None, range_str: str | None = None) -> DataFrame:
+def code_list(spark: SparkSession, prefix: str, code: str | None = None, codes: list[str] | None = None, codes_file: str | None = None, range_str: str | None = None, code_last: bool = False) -> DataFrame:
     """``part, pos, code`` from single codes, a file (blank and # lines skipped) and a range 'low-high', in this
-    order; nothing is made distinct."""
-    given = [c.strip() for c in [code or "", *(codes or [])] if c and c.strip()]
-    out = spark.createDataFrame([(0, i, c) for i, c in enumerate(given)], "part int, pos bigint, code string")
+    order; nothing is made distinct. With ``code_last`` the one ``code`` comes after all others. No code is an error."""
+    one = [code] if code else []
+    first, last = ([*(codes or [])], one) if code_last else ([*one, *(codes or [])], [])
+    given = lambda part, xs: spark.createDataFrame([(part, i, c.strip()) for i, c in enumerate(xs) if c and c.strip()], "part int, pos bigint, code string")
+    out = given(0, first)
     if codes_file:
         out = out.unionByName(read_codes(spark, codes_file).select(F.lit(1).alias("part"), "pos", "code"))
     if range_str:
         low, high = (int(x) for x in range_str.split("-", 1))
         out = out.unionByName(code_range(spark, prefix, low, high).select(F.lit(2).alias("part"), F.monotonically_increasing_id().alias("pos"), "code"))
+    out = out.unionByName(given(3, last))
+    if out.isEmpty():
+        raise ValueError("no codes given")
     return out
 
 
