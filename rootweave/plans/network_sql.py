@@ -1,6 +1,6 @@
 """DuckDB SQL of the network queries, written from their definitions as plain joins and recursive queries."""
 
-from rootweave.plans.quality import SPACE_SQL, core_sql, id_sql
+from rootweave.plans.quality import LINES_SQL, SPACE_SQL, core_sql, id_sql
 
 GENE = lambda c: f"nullif(trim(split_part({id_sql(c)}, '.', 1), {SPACE_SQL}), '')"
 TRIM = lambda c: f"trim({c}, {SPACE_SQL})"
@@ -287,4 +287,8 @@ ORACLES = {
     "core_to_string_ids": f"""select core, coalesce(min(t) filter (starts_with(t, '9606.')), core) string_id from (select {core_sql('p')} core, {TRIM('p')} t from (select protein1 p from human_ppi union all select protein2 from human_ppi))
         where core is not null group by core""",
     "first_names": f"select {id_sql('ingredient_id')} ingredient_id, min(row_no) row_no, arg_min(ingredient_name, row_no) ingredient_name from ingredient_info where {id_sql('ingredient_id')} is not null group by 1",
+    "adme_fallback": f"""with {LINES_SQL}, en as (select distinct {id_sql('v')} i from (select unnest([node_1, node_2]) v from herb_edges) where {id_sql('v')} like 'HBIN%'),
+        own as (select {id_sql('ingredient_id')} i, ob_score, drug_likeness, molwt, numhacceptors, numhdonors, mollogp, numrotatablebonds from ingredient_info)
+        select i ingredient_id, ob_score, drug_likeness, molwt, numhacceptors, numhdonors, mollogp, numrotatablebonds from en join own using (i)
+        union all select en.i, ob_score, drug_likeness, molwt, numhacceptors, numhdonors, mollogp, numrotatablebonds from en join (select {id_sql('ingredient_id')} i, ob_score, drug_likeness, molwt, numhacceptors, numhdonors, mollogp, numrotatablebonds from lv) l on l.i = en.i where en.i not in (select i from own where i is not null)""",
 }

@@ -233,8 +233,31 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.load_valid(load(spark, d, "ingredient_raw", "line_no", "raw_line"), INGREDIENT_FIELDS, FIELD_RULES)
 
 
+# Lines as fields: in good quoting (RE2, as in the operator), cut at the commas outside quotes, quotes taken off.
+_F = '(?:"(?:[^"]|"")*"|[^",]*)'
+LINES_SQL = f"""
+ln as (select line_no, case when ends_with(r, chr(13)) then left(r, length(r) - 1) else r end raw from (select line_no, coalesce(raw_line, '') r from ingredient_raw)),
+lf as (select line_no, raw, regexp_full_match(raw, '{_F}(?:,{_F})*') quoted,
+  list_transform(regexp_extract_all(raw || ',', '({_F}),', 1), lambda f: case when starts_with(f, '"') then replace(substr(f, 2, length(f) - 2), '""', '"') else f end) f from ln),
+lv as (select line_no, {', '.join(f'nullif(f[{i}], {chr(39) * 2}) {c}' for i, c in enumerate(INGREDIENT_FIELDS, 1))} from lf where quoted and len(f) = 13)"""
+_NUMBER = lambda c, low, high: f"({c} is not null and not (regexp_full_match({c}, '[0-9]+(\\.[0-9]+)?') and coalesce(try_cast({c} as decimal(38,18)) {low} and try_cast({c} as decimal(38,18)) <= {high}, false)))"
+REJECTS_SQL = f"""{LINES_SQL},
+ce as (select 'ingredient_raw' source_table, line_no row_no, ob_score, drug_likeness, molwt, canonical_smiles s from lv
+  union all select 'ingredient_info', row_no, nullif(ob_score, ''), nullif(drug_likeness, ''), nullif(molwt, ''), nullif(canonical_smiles, '') from ingredient_info),
+us as (select distinct s from ce where s is not null),
+ch as (select s, i, substr(s, i, 1) c from us, unnest(range(1, length(s) + 1)) t(i)),
+dp as (select s, sum(case c when '(' then 1 when ')' then -1 else 0 end) over w r, sum(case c when '[' then 1 when ']' then -1 else 0 end) over w q, i from ch window w as (partition by s order by i)),
+sm as (select s, min(r) r_low, min(q) q_low, max(q) q_high, arg_max(r, i) r_end, arg_max(q, i) q_end from dp group by s),
+bs as (select s, not regexp_full_match(s, '[A-Za-z0-9@+\\-\\[\\]()=#$:/\\\\%.*]*') or r_low < 0 or q_low < 0 or q_high > 1 or r_end <> 0 or q_end <> 0 bad from sm),
+bad as (select source_table, row_no, unnest(list_filter([case when {_NUMBER('ob_score', '>= 0', 100)} then 'ob_score' end, case when {_NUMBER('drug_likeness', '>= 0', 1)} then 'drug_likeness' end,
+  case when {_NUMBER('molwt', '> 0', 5000)} then 'molwt' end, case when bs.bad then 'canonical_smiles' end], lambda v: v is not null)) field_name from ce left join bs using (s))"""
+P6_FOUND_SQL = f"""with {REJECTS_SQL}
+select 'ingredient_raw' source_table, cast(line_no as bigint) row_no, case when not quoted then 'quoting' else 'column_count' end reason, '' field_name from lf where not quoted or len(f) <> 13
+union all select source_table, row_no, 'value', field_name from bad"""
+P6_LOADED_SQL = f"with {REJECTS_SQL} select line_no row_no, {', '.join(INGREDIENT_FIELDS)} from lv where line_no not in (select row_no from bad where source_table = 'ingredient_raw')"
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_live_profile, p3_found, p3_protein_stats, p4_found, p4_report, p6_found, p6_loaded)}
 ORACLES = {
     "p1_found": P1_FOUND_SQL, "p1_profile": P1_PROFILE_SQL, "p1_live_profile": P1_LIVE_SQL, "p3_found": P3_FOUND_SQL,
-    "p3_protein_stats": P3_STATS_SQL, "p4_found": P4_FOUND_SQL, "p4_report": P4_REPORT_SQL,
+    "p3_protein_stats": P3_STATS_SQL, "p4_found": P4_FOUND_SQL, "p4_report": P4_REPORT_SQL, "p6_found": P6_FOUND_SQL, "p6_loaded": P6_LOADED_SQL,
 }
