@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootweave.session import cut
+from rootweave.session import cut, spread
 
 
 def log_factorial(n: Column) -> Column:
@@ -65,7 +65,7 @@ def enrich(sets: DataFrame, terms: DataFrame, universe: int | None = None) -> Da
     Few sizes occur beside many pairs, so each tail is summed once per (k, m, n, total) and joined back.
     """
     found, sizes = cut(overlaps(sets, terms, universe), "overlaps"), ["k", "m", "n", "total"]
-    tails = cut(found.select(*sizes).distinct().withColumn("p", hypergeom_tail(*sizes)), "tails")
+    tails = cut(spread(found.select(*sizes).distinct(), *sizes).withColumn("p", hypergeom_tail(*sizes)), "tails")
     return adjust(found.join(tails, sizes))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rootweave.functions.ids import gene_core, same_id, trim_id
 from rootweave.operators import bits
-from rootweave.session import cut
+from rootweave.session import cut, spread
 
 
 def other_ends(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ class Resolver:
         Each ingredient that is reached is resolved once, to a set of bits; a herb's set is the OR of its
         ingredients' sets. Only the columns that are asked for take part.
         """
-        drugs = cut(self._hop(seeds, "Herb–Ingredient"), "herb-ingredients")
+        drugs = cut(spread(self._hop(seeds, "Herb–Ingredient"), "query"), "herb-ingredients")
         found = self.ingredients(drugs.select(F.col("node").alias("query"), F.col("node").alias("id")).distinct())
         found = cut(found.select(F.col("query").alias("node"), *columns).distinct(), "ingredient-proteins")
         names = bits.number(found.select(*columns))

@@ -352,7 +352,7 @@ def adme_fallback(spark, d):
 
 def bfs_single_source(spark, d):
     """Distances from the least protein of the graph."""
-    g = _graph(spark, d)
+    g = Network(spark, d).graph
     first = graph.nodes(g).agg(F.min("node").alias("node"))
     return graph.distances(g, first)
 

@@ -94,6 +94,12 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows over all shuffle partitions of the session, by ``columns``. For few bytes that cost much work each (wide
+    products, long loops): adaptive execution sizes tasks by bytes and would put them into one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def utc(c: str) -> Column:
     """A timestamp whose calendar fields read as UTC, whatever the session's time zone is."""
     return F.to_utc_timestamp(F.col(c), F.current_timezone())
