@@ -24,6 +24,11 @@ def same_id(c: Column | str) -> Column:
     return F.nullif(F.upper(trim_id(c)), F.lit(""))
 
 
+def id_prefix(c: Column | str, prefixes: tuple[str, ...]) -> Column:
+    """Which of the prefixes, followed by digits only, the id consists of, in any spelling; null if none."""
+    return F.nullif(F.regexp_extract(same_id(c), rf"^({'|'.join(prefixes)})[0-9]+\z", 1), F.lit(""))
+
+
 def strip_species(c: Column | str) -> Column:
     """``9606.ENSP1`` -> ``ENSP1``; anything else unchanged."""
     c = col(c)

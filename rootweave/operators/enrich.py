@@ -20,15 +20,17 @@ def log_factorial(n: Column) -> Column:
     return series - shift
 
 
-def hypergeom_tail(k: str, m: str, n: str, total: str) -> Column:
-    """P[X >= k] for n draws from ``total`` with m successes. 0 where k exceeds n or m; 1 where total < n.
+def hypergeom_log_tail(k: str, m: str, n: str, total: str) -> Column:
+    """ln P[X >= k] for n draws from ``total`` with m successes. Null (P = 0) where k exceeds n or m; 0 (P = 1) where
+    total < n.
 
-    The first term comes from logarithms, each further one from its predecessor by a ratio.
+    The first term comes from logarithms, each further one from its predecessor by a ratio, so a tail far below the
+    least double has its logarithm too.
     """
     K, M, n_, N = (F.col(c).cast("double") for c in (k, m, n, total))
     comb = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
     low = F.greatest(K, n_ - (N - M))
-    first = F.exp(comb(M, low) + comb(N - M, n_ - low) - comb(N, n_))
+    first = comb(M, low) + comb(N - M, n_ - low) - comb(N, n_)
     high = F.least(M, n_)
 
     def step(acc, i):
@@ -36,8 +38,14 @@ def hypergeom_tail(k: str, m: str, n: str, total: str) -> Column:
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
     rest = F.when(high > low, F.sequence(low.cast("int"), high.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    tail = F.aggregate(rest, F.struct(first.alias("term"), first.alias("total")), step, lambda acc: acc["total"])
-    return F.when((K > n_) | (K > M), 0.0).when(N < n_, 1.0).when(K <= 0, 1.0).otherwise(F.least(F.lit(1.0), tail))
+    one = F.lit(1.0)
+    times = F.aggregate(rest, F.struct(one.alias("term"), one.alias("total")), step, lambda acc: acc["total"])
+    return F.when((K > n_) | (K > M), None).when(N < n_, 0.0).when(K <= 0, 0.0).otherwise(F.least(F.lit(0.0), first + F.ln(times)))
+
+
+def hypergeom_tail(k: str, m: str, n: str, total: str) -> Column:
+    """P[X >= k] itself, see ``hypergeom_log_tail``."""
+    return F.coalesce(F.exp(hypergeom_log_tail(k, m, n, total)), F.lit(0.0))
 
 
 def overlaps(sets: DataFrame, terms: DataFrame, universe: int | None = None) -> DataFrame:
@@ -65,24 +73,37 @@ def enrich(sets: DataFrame, terms: DataFrame, universe: int | None = None) -> Da
     Few sizes occur beside many pairs, so each tail is summed once per (k, m, n, total) and joined back.
     """
     found, sizes = cut(overlaps(sets, terms, universe), "overlaps"), ["k", "m", "n", "total"]
-    tails = cut(spread(found.select(*sizes).distinct(), *sizes).withColumn("p", hypergeom_tail(*sizes)), "tails")
-    return adjust(found.join(tails, sizes))
+    tails = spread(found.select(*sizes).distinct(), *sizes).withColumn("log_p", hypergeom_log_tail(*sizes))
+    return adjust(found.join(cut(tails, "tails"), sizes).withColumn("p", F.coalesce(F.exp("log_p"), F.lit(0.0))))
+
+
+#: Below this a p or q value is compared by its logarithm.
+TINY = 1e-290
 
 
 def adjust(tested: DataFrame, by: tuple[str, ...] = ("set_id", "category"), tests: str = "n_tests") -> DataFrame:
-    """Adds ``q``: p times tests over rank, made monotone from the largest p down, at most 1."""
-    up = Window.partitionBy(*by).orderBy("p", "term")
+    """Adds ``q``: p times tests over rank, made monotone from the largest p down, at most 1; and ``log_q`` if
+    ``tested`` has ``log_p`` (natural logarithms, exact where p and q vanish)."""
+    logs = "log_p" in tested.columns
+    up = Window.partitionBy(*by).orderBy("p", *([F.when(F.col("p") < TINY, F.col("log_p")).asc_nulls_first()] if logs else []), "term")
     down = Window.partitionBy(*by).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = tested.withColumn("rank", F.row_number().over(up))
+    if logs:
+        ranked = ranked.withColumn("log_q", F.least(F.lit(0.0), F.min(F.col("log_p") + F.ln(tests) - F.ln("rank")).over(down)))
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col("p") * F.col(tests) / F.col("rank")).over(down))).drop("rank")
 
 
-def rank_value(c: str) -> Column:
-    """A p or q value for ranking: its logarithm to six digits, so that the last bits of a sum don't decide."""
-    return F.round(F.log10(F.greatest(F.col(c), F.lit(1e-300))), 6)
+def rank_value(c: str, log: str | None = None) -> Column:
+    """A p or q value for ranking: its decimal logarithm to six digits, so that the last bits of a sum don't decide.
+    With ``log`` (a column of natural logarithms) also where the value itself is too small for a double."""
+    x = F.log10(F.greatest(F.col(c), F.lit(1e-300)))
+    if log is not None:
+        x = F.when((F.col(c) < TINY) & F.col(log).isNotNull(), F.col(log) / F.ln(F.lit(10.0))).otherwise(x)
+    return F.round(x, 6)
 
 
 def top_terms(enriched: DataFrame, top_n: int = 20, q_cut: float = 0.05, by: tuple[str, ...] = ("set_id",)) -> DataFrame:
     """The first ``top_n`` terms with q <= q_cut, per ``by``: adds ``place``. Order: q, p, larger k, category, term."""
-    w = Window.partitionBy(*by).orderBy(rank_value("q"), rank_value("p"), F.col("k").desc(), "category", "term")
+    log = lambda c: c if c in enriched.columns else None
+    w = Window.partitionBy(*by).orderBy(rank_value("q", log("log_q")), rank_value("p", log("log_p")), F.col("k").desc(), "category", "term")
     return enriched.where(F.round("q", 9) <= q_cut).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_n)

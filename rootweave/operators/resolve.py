@@ -51,6 +51,14 @@ def clean_xref(xref: DataFrame) -> DataFrame:
     return x.groupBy("ensg", "ensp").agg(F.min("hgnc_symbol").alias("hgnc_symbol"), F.min("uniprot").alias("uniprot"))
 
 
+def import_counts(xref: DataFrame) -> DataFrame:
+    """What an import of cross references keeps: one row of ``n_rows, n_valid, n_unique`` (rows, rows with a gene and a
+    protein id, distinct pairs of them)."""
+    valid = F.startswith(gene_core("ensg"), F.lit("ENSG")) & F.startswith(gene_core("ensp"), F.lit("ENSP"))
+    rows = xref.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce(valid, F.lit(False))).alias("n_valid"))
+    return rows.withColumn("n_unique", clean_xref(xref).agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 def map_ids(ids: DataFrame, column: str, xref: DataFrame | None, source: str, goal: str) -> DataFrame:
     """Distinct pairs ``source, goal`` for the ids in ``column``, with symbol and UniProt id.
 
@@ -162,6 +170,19 @@ def resolution_stats(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("query").agg(F.count_distinct("ensg").alias("n_ensg"), F.count_distinct("ensp").alias("n_ensp"))
 
 
+def diagnostics(r: Resolver, seeds: DataFrame, checked: DataFrame) -> DataFrame:
+    """How every ingredient of ``seeds`` (``query, id``) was resolved: ``query, n_targets, n_ensg, n_ensp`` and the rows
+    of ``checked`` (``id, eligible``) it has, all and failing; 0 where nothing was found."""
+    count = lambda df, **c: df.groupBy("query").agg(*[x.alias(k) for k, x in c.items()])
+    targets = count(r._hop(seeds, "Ingredient–Target"), n_targets=F.count(F.lit(1)))
+    found = count(r.ingredients(seeds), n_ensg=F.count_distinct("ensg"), n_ensp=F.count_distinct("ensp"))
+    rows = count(seeds.join(checked, "id"), n_rows=F.count(F.lit(1)), n_failed=F.count_if(~F.col("eligible")))
+    out = seeds.select("query").distinct()
+    for part in (targets, found, rows):
+        out = out.join(part, "query", "left")
+    return out.fillna(0)
+
+
 def first_by_position(values: DataFrame, key: str, pos: str) -> DataFrame:
     """The first row of every key by position, other columns with it; with equal positions the least row."""
     rest = [c for c in values.columns if c != key]

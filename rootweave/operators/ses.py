@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rootweave.operators.enrich import enrich, rank_value
 from rootweave.session import cut
 
 # Categories that are left out unless asked for, and the presets; 'all' takes every category.
@@ -46,8 +47,9 @@ def rank_terms(results: DataFrame, by: tuple[str, ...], top_n: int = 20, q_cut:
     A missing fdr counts as p, a missing p too as 1; not-a-number fails.
     """
     r = results.withColumn("fdr", F.coalesce("fdr", "p_value", F.lit(1.0))).where(~F.isnan("fdr") & (F.round("fdr", 9) <= q_cut))
-    log = lambda c: F.round(F.log10(F.greatest(F.coalesce(F.col(c), F.lit(1.0)), F.lit(1e-300))), 6)
-    w = Window.partitionBy(*by).orderBy(log("fdr"), log("p_value"), "key")
+    r = r.withColumn("p_value", F.coalesce("p_value", F.lit(1.0)))
+    log = lambda c: c if c in r.columns else None
+    w = Window.partitionBy(*by).orderBy(rank_value("fdr", log("log_q")), rank_value("p_value", log("log_p")), "key")
     return r.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_n)
 
 
@@ -103,9 +105,23 @@ Provider = Callable[[DataFrame], DataFrame]
 
 def local_provider(terms: DataFrame) -> Provider:
     """Enrichment against a term table (``category, term, gene``); stands in for a remote service."""
-    from rootweave.operators.enrich import enrich
+    return lambda sets: enrich(sets, terms).select("set_id", "category", F.col("term").alias("term_id"), "term", F.col("p").alias("p_value"), F.col("q").alias("fdr"), "log_p", "log_q")
 
-    return lambda sets: enrich(sets, terms).select("set_id", "category", F.col("term").alias("term_id"), "term", F.col("p").alias("p_value"), F.col("q").alias("fdr"))
+
+def read_results(spark: SparkSession, path: str, form: str = "tsv") -> DataFrame:
+    """Results as a remote service delivers them, in tab-separated or JSON-lines files: ``set_id, category, term_id,
+    term, p_value, fdr``; columns that aren't there are null, other ones are left out."""
+    schema = "set_id string, category string, term_id string, term string, p_value double, fdr double"
+    if form == "json":
+        return spark.read.schema(schema).json(path)
+    df = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="")
+    there = {c.lower(): c for c in df.columns}
+    return df.select(*[(F.col(f"`{there[c]}`") if c in there else F.lit(None)).try_cast(t).alias(c) for c, t in (x.split(" ") for x in schema.split(", "))])
+
+
+def given_provider(results: DataFrame) -> Provider:
+    """A provider that takes what it gives from a table of results, by ``set_id``."""
+    return lambda sets: results.join(sets.select("set_id").distinct(), "set_id", "left_semi")
 
 
 def _ranked(sets: DataFrame, provider: Provider, by: tuple[str, ...], group: tuple[str, ...], top_n: int, q_cut: float, allow: list[str] | None) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import cut_version, protein_core, same_id, trim_id
-from rootweave.operators import edges, graph, resolve
-from rootweave.plans.network import Network, _edges, _graph, _kinds, _payloads, _xref
+from rootweave.operators import edges, graph, resolve, ses
+from rootweave.plans.network import Network, _neighbour_pairs, _edges, _graph, _kinds, _payloads, _xref
 from rootweave.plans.network_sql import FORMULA, KINDS, PPI, TRIM, XREF, id_sql
+from rootweave.plans.network_sql import ORACLES as NETWORK_SQL
 from rootweave.plans.quality import core_sql
 from rootweave.session import cut, new_place
 from rootweave.sources import files, payload, sinks
@@ -87,6 +88,20 @@ def read_xref_csv(spark, d):
     return resolve.clean_xref(files.read_xref(spark, _csv(rows, "mart.csv")))
 
 
+def ses_of_results(spark, d):
+    """SES of neighbouring diseases per category from results that a service delivered as files, half of them
+    tab-separated, half as JSON lines."""
+    n = Network(spark, d)
+    sets, place = cut(_neighbour_pairs(n).select(F.concat_ws("#", "pair", "side").alias("set_id"), "pair", "side", "gene"), "pairs"), [new_place(spark, f"results-{i}") for i in range(2)]
+    results = cut(ses.local_provider(n.terms)(sets.select("set_id", "gene")), "results")
+    half = F.crc32("set_id") % 2
+    results.where(half == 0).withColumn("x", F.lit("other")).write.options(header=True, sep="\t", quote="").csv(place[0])
+    results.where(half == 1).write.json(place[1])
+    both = ses.read_results(spark, place[0]).unionByName(ses.read_results(spark, place[1], "json"))
+    out = ses.by_category(sets.select("pair", "side", "gene"), ses.given_provider(both), ("pair",), q_cut=1.0)
+    return out.select("pair", "category", F.round("ses", 8).alias("ses"), "n_terms")
+
+
 def read_codes_file(spark, d):
     """Herb codes as a file with comments and blank lines."""
     codes = load(spark, d, "herb_info", "herb_id").select(same_id("herb_id").alias("value")).where("value is not null").distinct()
@@ -180,7 +195,7 @@ def payload_all_ids(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        read_ppi_text, read_delimited_herbs, read_directory_infos, read_edges_csv, read_edge_list_ppi, read_gmt_symbols, read_xref_csv, read_codes_file, file_magic,
+        read_ppi_text, read_delimited_herbs, read_directory_infos, read_edges_csv, read_edge_list_ppi, read_gmt_symbols, read_xref_csv, ses_of_results, read_codes_file, file_magic,
         table_columns, sink_append_new, sink_duplicates, sink_clean_edges, sink_flush_edges, sink_json, sink_distance_cache, stream_payload_edges, payload_all_ids,
     )
 }
@@ -198,6 +213,7 @@ ORACLES = {
     "read_edge_list_ppi": f"with {PPI} select a, b from g",
     "read_gmt_symbols": f"with {XREF} select distinct substr(hgnc_symbol, 1, 3) term, ensg gene from x where hgnc_symbol is not null",
     "read_xref_csv": f"with {_XREF_FILE} select * from x",
+    "ses_of_results": NETWORK_SQL["ses_by_category"],
     "read_codes_file": f"select distinct {id_sql('herb_id')} code from herb_info where {id_sql('herb_id')} is not null",
     "file_magic": "select unnest(['formula_info', 'disease_info', 'eval_items']) tab_name, true is_parquet",
     "table_columns": " union all ".join(f"select '{t}' tab_name, column_name col_name from (describe {t})" for t in ("human_ppi", "herb_edges", "ensembl_xref", "target_info")),

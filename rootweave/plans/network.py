@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rootweave.functions.ids import ensp_or_null, gene_core, protein_core, same_id, strip_species, trim_id
+from rootweave.functions.ids import ensp_or_null, id_prefix, protein_core, same_id, strip_species, trim_id
 from rootweave.operators import adme, edges, enrich, graph, proximity, resolve, sampling, ses
 from rootweave.plans.network_sql import ORACLES  # noqa: F401
 from rootweave.session import cut
@@ -301,6 +301,24 @@ def resolve_router(spark, d):
     return n.resolver.route(n.kinds.select(F.col("id").alias("query"), "id").distinct())
 
 
+def resolve_diagnostics(spark, d):
+    """How every ingredient was resolved, with its rows in the balanced profile."""
+    n = Network(spark, d)
+    checked = adme.profile_check(_ingredients(spark, d)).select(same_id("ingredient_id").alias("id"), "eligible")
+    return resolve.diagnostics(n.resolver, n.seeds("Ingredient"), checked)
+
+
+def xref_import_counts(spark, d):
+    """Rows, valid rows and distinct pairs of the cross references."""
+    return resolve.import_counts(_xref(spark, d))
+
+
+def id_prefix_counts(spark, d):
+    """Edge ends by the prefix of their id."""
+    ends = _edges(spark, d).select(F.explode(F.array("node_1", "node_2")).alias("x"))
+    return ends.groupBy(id_prefix("x", payload.PREFIXES).alias("prefix")).agg(F.count(F.lit(1)).alias("n_ends"))
+
+
 def resolve_raw(spark, d):
     """Targets of every ingredient, found by its id or any of its names at raw edges whose type names both kinds."""
     table = load(spark, d, "ingredient_info", "ingredient_id", "ingredient_name", "ingredient_alias_name")
@@ -703,7 +721,7 @@ QUERIES = {
         degree_buckets, degree_bins, background_ppi, background_string_ids, background_xref, ppi_fallback_scan, xref_import_clean, ensg_to_ensp, ensp_to_ensg,
         edge_typed, edges_clean, edges_clean_adme, edge_type_counts, adme_strict, adme_profile_balanced, adme_profile_lenient, adme_gate, adme_fallback,
         resolve_herb, resolve_ingredient, resolve_disease, resolve_herb_name, resolve_ingredient_like, resolve_disease_name, resolve_gated, resolve_router,
-        resolve_raw, resolve_raw_disease, ensg_passed_through, core_to_string_ids, first_names, proximity_mean_z, proximity_many,
+        resolve_diagnostics, xref_import_counts, id_prefix_counts, resolve_raw, resolve_raw_disease, ensg_passed_through, core_to_string_ids, first_names, proximity_mean_z, proximity_many,
         ses_ensp, ses_null_matched_sets, ses_null_matched, set_texts, resolve_stats, bfs_single_source, bfs_set, distance_rows, pair_distances, distance_lookup, set_distances, ora_counts, ora_enrich, ora_top_terms,
         term_rank_fdr, ses_pair, ses_by_category, ses_weighted, uniform_sample, binned_sample, ses_null, ses_null_by_category, payload_id_extract, payload_edges,
         payload_counts, edge_merge, code_gaps, kind_of_files, infos_union, table_counts,

@@ -291,4 +291,9 @@ ORACLES = {
         own as (select {id_sql('ingredient_id')} i, ob_score, drug_likeness, molwt, numhacceptors, numhdonors, mollogp, numrotatablebonds from ingredient_info)
         select i ingredient_id, ob_score, drug_likeness, molwt, numhacceptors, numhdonors, mollogp, numrotatablebonds from en join own using (i)
         union all select en.i, ob_score, drug_likeness, molwt, numhacceptors, numhdonors, mollogp, numrotatablebonds from en join (select {id_sql('ingredient_id')} i, ob_score, drug_likeness, molwt, numhacceptors, numhdonors, mollogp, numrotatablebonds from lv) l on l.i = en.i where en.i not in (select i from own where i is not null)""",
+    "resolve_diagnostics": f"""{BASE}, {DRUG}, c as ({checked('30.0', '0.18', 5.5, 1)})
+        select si.query, (select count(*) from i1 where i1.query = si.query) n_targets, (select count(distinct ensg) from ip where ip.query = si.query) n_ensg,
+        (select count(distinct ensp) from ip where ip.query = si.query) n_ensp, (select count(*) from c where c.id = si.query) n_rows, (select count(*) from c where c.id = si.query and not eligible) n_failed from si""",
+    "xref_import_counts": f"with {XREF}, v as (select starts_with({GENE('ensg')}, 'ENSG') and starts_with({GENE('ensp')}, 'ENSP') ok from ensembl_xref) select count(*) n_rows, count(*) filter (ok) n_valid, (select count(*) from x) n_unique from v",
+    "id_prefix_counts": f"select nullif(regexp_extract({id_sql('v')}, '^(HBIN|HBDIS|HBTAR|HBCT|HBMA|HERB|HBFO|HBREF|HBEXP)[0-9]+$', 1), '') prefix, count(*) n_ends from (select unnest([node_1, node_2]) v from herb_edges) group by 1",
 }

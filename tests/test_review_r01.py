@@ -197,3 +197,13 @@ def test_presets_and_texts(spark):
 def test_tables_come_back(spark, name):
     df = files_io.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert not df.isEmpty()
+
+
+def test_p_values_below_the_least_double_still_rank(spark):
+    from rootweave.operators import enrich
+
+    # k shared genes of sets and terms of 300 among 100,000: all p underflow, yet more shared genes rank first.
+    t = table(spark, "set_id string, category string, term string, k int, m int, n int, total int, n_tests int", *[("s", "c", f"t{300 - k}", k, 300, 300, 100_000, 3) for k in (250, 270, 299)])
+    t = t.withColumn("log_p", enrich.hypergeom_log_tail("k", "m", "n", "total")).withColumn("p", F.coalesce(F.exp("log_p"), F.lit(0.0)))
+    top = enrich.top_terms(enrich.adjust(t))
+    assert [r["k"] for r in top.orderBy("place").collect()] == [299, 270, 250] and all(r["p"] < 1e-300 for r in top.collect())
