@@ -75,7 +75,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose ids do not decode to their text again (none), with their lengths."""
+    """Every document: whether its ids decode to its text again, and the length of what they give."""
     docs = load(spark, d, "documents", "doc_id", "text")
     back = tokenizer.decode(p7_ids(spark, d)).withColumnRenamed("text", "back")
     pairs = docs.join(back, "doc_id")
