@@ -40,19 +40,24 @@ def run_dir(spark: SparkSession) -> str:
     place = f"{shared_dir(spark).rstrip('/')}/rootweave/{app}"
     if app not in _applications:
         _applications.add(app)
-        atexit.register(remove, spark, place)
+        sc = spark.sparkContext  # JVM and configuration outlive a session that is stopped before the process ends
+        atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), place)
     return place
 
 
-def remove(spark: SparkSession, place: str) -> None:
-    """Delete a file or folder on any file system Spark knows; nothing if it is gone or the session has ended."""
+def _delete(jvm, conf, place: str) -> None:
     try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(conf).delete(path, True)
     except Exception:  # noqa: BLE001 - at the end of a process there may be no JVM any more
         pass
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    """Delete a file or folder on any file system Spark knows; nothing if it isn't there."""
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), place)
+
+
 def exists(spark: SparkSession, place: str) -> bool:
     """Whether there is a file or folder at ``place``, on any file system Spark knows."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
