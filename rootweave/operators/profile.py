@@ -79,6 +79,10 @@ _COUNTS = "tab_name string, col_name string, value string, formed boolean, x dec
 VALUE = ["tab_name", "col_name", "value", "formed", "x"]
 
 
+def _array(numbers: list[int]) -> Column:
+    return F.array(*[F.lit(k).cast("bigint") for k in numbers])
+
+
 class ValueCounts:
     """Maintained signed value counts below ``path``: ``deltas`` has what each load changed, ``totals`` the counts of
     the cells alive after each load, one partition per load in either.
@@ -106,29 +110,34 @@ class ValueCounts:
         """What every load brought and took back, with ``load_no``."""
         return self._read("deltas").where("tab_name is not null")
 
-    def _write(self, part: str, load_no: int, counts: DataFrame) -> None:
-        """A marker row of no column keeps a load whose counts are empty known."""
-        mark = self.spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in (f.split(" ") for f in _COUNTS.split(", "))])
-        counts.select(*VALUE, "n").unionByName(mark).write.mode("overwrite").parquet(f"{self.path}/{part}/load_no={load_no}")
+    def _write(self, part: str, loads: list[int], counts: DataFrame) -> None:
+        """Replace the partitions of ``loads``. A marker row of no column keeps a load without counts known."""
+        no = {c: F.lit(None).cast(t).alias(c) for c, t in (f.split(" ") for f in _COUNTS.split(", "))}
+        marks = self.spark.range(1).select(*no.values(), F.explode(_array(loads)).alias("load_no"))
+        counts.select(*VALUE, "n", "load_no").unionByName(marks).write.partitionBy("load_no").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/{part}")
 
     def apply(self, delta: DataFrame) -> None:
-        """Add or replace the loads that occur in ``delta`` (signed counts with ``load_no``), one after the other;
-        several rows of a value add up. Other loads' deltas stay as they are."""
-        delta = cut(delta.select(*VALUE, "n", "load_no"), "delta", partition_by="load_no").select(*VALUE, "n", "load_no")
-        for k in sorted(r["load_no"] for r in delta.select("load_no").distinct().collect()):
-            changed = delta.where(F.col("load_no") == k).groupBy(*VALUE).agg(F.sum("n").alias("n")).where("n <> 0")
-            self._write("deltas", k, changed)
-            self._carry_on(k)
+        """Add or replace the loads that occur in ``delta`` (signed counts with ``load_no``); several rows of a value
+        add up. Other loads' deltas stay as they are."""
+        delta = cut(delta.groupBy(*VALUE, "load_no").agg(F.sum("n").alias("n")), "delta")
+        loads = sorted(r["load_no"] for r in delta.select("load_no").distinct().collect())
+        if loads:
+            self._write("deltas", loads, delta.where("n <> 0"))
+            self._carry_on(loads)
 
     def retract(self, load_no: int) -> None:
         """Take back a load: what it changed leaves all totals."""
-        self._write("deltas", load_no, self.spark.createDataFrame([], _COUNTS))
-        self._carry_on(load_no)
-
-    def _carry_on(self, load_no: int) -> None:
-        for k in [load_no, *[x for x in self.loads() if x > load_no]]:
-            total = self.after(k - 1).select(*VALUE, "n").unionByName(self.deltas().where(F.col("load_no") == k).select(*VALUE, "n"))
-            self._write("totals", k, total.groupBy(*VALUE).agg(F.sum("n").alias("n")).where("n <> 0"))
+        self._write("deltas", [load_no], self.spark.createDataFrame([], f"{_COUNTS}, load_no bigint"))
+        self._carry_on([load_no])
+
+    def _carry_on(self, loads: list[int]) -> None:
+        """Totals of ``loads`` and of all loads behind the first of them: the totals before it and the deltas since."""
+        since = [*loads, *[x for x in self.loads() if x > loads[0] and x not in loads]]
+        base = self.after(loads[0] - 1).select(*VALUE, "n", F.lit(loads[0]).cast("bigint").alias("since"))
+        rows = base.unionByName(self.deltas().where(F.col("load_no") >= loads[0]).select(*VALUE, "n", F.col("load_no").alias("since")))
+        at = F.filter(_array(since), lambda k: k >= F.col("since"))
+        totals = rows.select(*VALUE, "n", F.explode(at).alias("load_no")).groupBy(*VALUE, "load_no").agg(F.sum("n").alias("n"))
+        self._write("totals", since, totals.where("n <> 0"))
 
     def after(self, load_no: int) -> DataFrame:
         """Counts of the cells alive after a load: the totals of the last load up to it."""
@@ -145,7 +154,7 @@ class ValueCounts:
                 asked.setdefault(upto[-1], []).append(k)
         at = F.lit(None).cast("array<bigint>")
         for x, ks in asked.items():
-            at = F.when(F.col("load_no") == x, F.array(*[F.lit(k).cast("bigint") for k in ks])).otherwise(at)
+            at = F.when(F.col("load_no") == x, _array(ks)).otherwise(at)
         rows = self._read("totals").where("tab_name is not null")
         return rows.select(*VALUE, "n", F.explode(at).alias("load_no"))
 
