@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rootweave.functions.ids import gene_core, same_id, trim_id
 from rootweave.operators import bits
+from rootweave.operators.unions import Unions
 from rootweave.session import cut, spread
 
 
@@ -157,6 +158,25 @@ class Resolver:
         """Proteins of diseases."""
         return self._proteins(self._hop(seeds, "Target–Disease"))
 
+    def _routed(self, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Ids of any of the three kinds, by their prefix, as unions of sets: ``query, node`` with the ingredients and
+        diseases that an id stands for, and ``node, ensg, ensp`` with the proteins of these."""
+        part = lambda prefix: seeds.where(F.startswith("id", F.lit(prefix)))
+        named = lambda df, c, kind: df.select("query", F.concat(F.lit(kind), c).alias("node"))
+        drugs = self._hop(part("HERB"), "Herb–Ingredient").select("query", "node").unionByName(part("HBIN").select("query", F.col("id").alias("node")))
+        nodes = cut(named(drugs, "node", "I:").unionByName(named(part("HBDIS"), "id", "D:")).distinct(), "routed-nodes")
+        sets = []
+        for kind, find in (("I:", self.ingredients), ("D:", self.diseases)):
+            ids = nodes.where(F.startswith("node", F.lit(kind))).select(F.substring("node", 3, 1 << 30).alias("id")).distinct()
+            sets.append(find(ids.select(F.col("id").alias("query"), "id")).select(F.concat(F.lit(kind), "query").alias("node"), "ensg", "ensp"))
+        return nodes, cut(sets[0].unionByName(sets[1]), "routed-proteins")
+
+    def stats(self, seeds: DataFrame) -> DataFrame:
+        """``resolution_stats`` of ``route`` without its rows, which may be many times the input."""
+        nodes, sets = self._routed(seeds)
+        n = [Unions(nodes, cut(sets.select("node", c).distinct(), f"{c}-sets")).counts().select("query", F.col("n").alias(f"n_{c}")) for c in ("ensg", "ensp")]
+        return n[0].join(n[1], "query")
+
     def route(self, seeds: DataFrame) -> DataFrame:
         """Proteins of ids of any of the three kinds, by their prefix; other ids resolve to nothing."""
         part = lambda prefix: seeds.where(F.startswith("id", F.lit(prefix)))

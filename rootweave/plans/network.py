@@ -352,7 +352,8 @@ def first_names(spark, d):
 
 def resolve_stats(spark, d):
     """Distinct genes and proteins per resolved id."""
-    return resolve.resolution_stats(resolve_router(spark, d))
+    n = Network(spark, d)
+    return n.resolver.stats(n.kinds.select(F.col("id").alias("query"), "id").distinct())
 
 
 def adme_fallback(spark, d):
