@@ -50,3 +50,17 @@ def test_stats_without_rows(spark, hubs, monkeypatch):
     assert rows(r.stats(seeds)) == stats
     monkeypatch.setattr(unions, "HUB", 1000)  # no hub at all
     assert rows(r.stats(seeds)) == stats
+
+
+def no_join_by_number(df):
+    """Whether the rows of a union leave the tasks that make them without another shuffle or a sorted join."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "MapInArrow" in plan and "Aggregate" not in plan.split("MapInArrow")[0]
+
+
+def test_herbs_as_unions(spark, hubs):
+    r, seeds, want = hubs
+    of = [x for x in want if x[0].startswith("HERB")]
+    herbs = seeds.where("id like 'HERB%'")
+    assert rows(r.herbs(herbs, ("ensp",))) == sorted({(q, p) for q, _, p in of}, key=str)
+    assert no_join_by_number(r.herbs(herbs, ("ensp",)))
