@@ -64,3 +64,12 @@ def test_herbs_as_unions(spark, hubs):
     herbs = seeds.where("id like 'HERB%'")
     assert rows(r.herbs(herbs, ("ensp",))) == sorted({(q, p) for q, _, p in of}, key=str)
     assert no_join_by_number(r.herbs(herbs, ("ensp",)))
+
+
+def test_names_of_several_herbs(spark, hubs):
+    r, _, want = hubs
+    both = table(spark, "query string, id string", ("a name", "HERB1"), ("a name", "HERB3"), ("another", "HERB2"))
+    of = {"HERB1": ["a name"], "HERB3": ["a name"], "HERB2": ["another"]}
+    named = r.herbs(both, ("ensp",))
+    assert rows(named) == sorted({(n, p) for q, _, p in want for n in of.get(q, [])}, key=str)
+    assert no_join_by_number(named)
