@@ -73,3 +73,11 @@ def test_names_of_several_herbs(spark, hubs):
     named = r.herbs(both, ("ensp",))
     assert rows(named) == sorted({(n, p) for q, _, p in want for n in of.get(q, [])}, key=str)
     assert no_join_by_number(named)
+
+
+def test_route_as_one_union(spark, hubs):
+    r, seeds, want = hubs
+    routed = r.route(seeds)
+    assert rows(routed) == want and no_join_by_number(routed)
+    mixed = seeds.where("id in ('HERB1', 'HBIN0', 'HBDIS1')").selectExpr("'all' query", "id")
+    assert rows(r.route(mixed)) == sorted({("all", g, p) for q, g, p in want if q in ("HERB1", "HBIN0", "HBDIS1")}, key=str)
