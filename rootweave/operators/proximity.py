@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootweave.operators import bits
 from rootweave.operators import graph as g
+from rootweave.operators import pairs
 from rootweave.operators.sampling import degree_matched
 from rootweave.session import cut
 
@@ -43,20 +43,11 @@ def mean_all_pairs(graph: DataFrame, sampled: DataFrame) -> DataFrame:
     """``pair, it, d``: mean over all pairs of a node of side A and one of side B, repeats counted, unreachable
     pairs left out; infinity if none is reached.
 
-    One search per distinct node of any side A, shared by all samples it was drawn into. Pairs are never listed: a
-    level holds as bits which searches reach a node, a sample's side A is a set of bits too (one for each binary
-    digit of the repeats), and the bits they have in common are counted.
+    Pairs are never listed (see ``pairs.sums``).
     """
     sampled = cut(sampled.groupBy("pair", "it", "side", "node").agg(F.count(F.lit(1)).alias("times")), "samples")
-    side = lambda s: sampled.where(F.col("side") == s).drop("side")
-    found, keys = g.levels(g.neighbours(graph), side("A").select(F.col("node").alias("key"), "node").distinct())
-    word, bit = bits.word_and_bit()
-    digits = F.expr("filter(sequence(0, 31), k -> (shiftright(times, k) & 1) = 1)")
-    masks = side("A").withColumnRenamed("node", "key").join(keys, "key").select("pair", "it", word.alias("word"), bit.alias("bit"), F.explode(digits).alias("digit"))
-    masks = masks.groupBy("pair", "it", "word", "digit").agg(F.bit_or("bit").alias("mask"))
-    met = found.join(side("B"), "node").join(masks, ["pair", "it", "word"])
-    n = F.bit_count(F.col("bits").bitwiseAND(F.col("mask"))) * F.col("times") * F.expr("shiftleft(1L, digit)")
-    mean = met.select("pair", "it", "d", n.alias("n")).groupBy("pair", "it").agg((F.sum(F.col("d") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    side = lambda s: sampled.where(F.col("side") == s)
+    mean = pairs.sums(graph, sampled).select("pair", "it", (F.col("total") / F.nullif("n", F.lit(0))).alias("d"))
     all_ = side("A").join(side("B").select("pair", "it").distinct(), ["pair", "it"], "left_semi").select("pair", "it").distinct()
     return all_.join(mean, ["pair", "it"], "left").withColumn("d", F.coalesce("d", F.lit(float("inf"))))
 
