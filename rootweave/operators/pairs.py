@@ -1,4 +1,4 @@
-"""Sums of distances over all pairs of two sets, without a row for each pair.
+"""Distances over all pairs of two sets: their sum, and every member's nearest, without a row for each pair.
 
 Where few nodes have most of the neighbours (hubs), nearly all shortest paths lead over one of them, so a pair's distance
 is the least sum of both ends' distances to a hub. Nodes with equal distances to all hubs are counted as one class. Only
@@ -7,6 +7,7 @@ pairs that are nearer without any hub are found one by one, in what is left of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -138,3 +139,52 @@ def _of_bits(graph: DataFrame, sampled: DataFrame) -> DataFrame:
     met = found.join(side("B"), "node").join(masks, ["pair", "it", "word"])
     n = F.bit_count(F.col("bits").bitwiseAND(F.col("mask"))) * F.col("times") * F.expr("shiftleft(1L, digit)")
     return met.select("pair", "it", "d", n.alias("n")).groupBy("pair", "it").agg(F.sum(F.col("d") * F.col("n")).alias("total"), F.sum("n").alias("n"))
+
+
+def _others(members: DataFrame, what: str) -> Iterator[DataFrame]:
+    """Seeds and wanted nodes (``key, node``) of searches that meet every member's nearest other one. Members have numbers,
+    and two of them differ in a bit, so for each bit those with it are searched from those without, and back."""
+    numbers = bits.number(members)
+    r = numbers.agg(F.bit_or("n").alias("any"), F.bit_and("n").alias("all")).first()
+    places = [k for k in range(63) if ((r["any"] or 0) ^ (r["all"] or 0)) >> k & 1]
+    rows = numbers.select("node", "n", F.explode(F.array(*[F.lit(k) for k in places]).cast("array<int>")).alias("k"))
+    bit = F.expr("shiftright(n, k) & 1")
+    for own in (bit, 1 - bit):
+        yield rows.select(F.concat_ws(":", F.lit(what), "k", own.cast("string")).alias("key"), "node")
+
+
+def nearest(graph: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``what, node, low``: for every node of ``a`` the nearest of ``b`` ('a'), the other way ('b'), and the nearest other
+    of its own set ('aa', 'bb'). Without one there is no row. All are searches from whole sets, side by side."""
+    (from_a, to_a), (from_b, to_b) = _others(a, "aa"), _others(b, "bb")
+    at = lambda key, x: x.select(F.lit(key).alias("key"), "node")
+    seeds = reduce(DataFrame.unionByName, [at("a", b), at("b", a), from_a, from_b])
+    wanted = reduce(DataFrame.unionByName, [at("a", a), at("b", b), to_a, to_b])
+    found = g.bfs(g.neighbours(graph), seeds, wanted)
+    return found.groupBy(F.substring_index("key", ":", 1).alias("what"), "node").agg(F.min("d").alias("low"))
+
+
+def set_distances(graph: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """The row of ``graph.set_distances`` for the sets ``a`` and ``b`` (``node``) of a graph (``a, b``), without the distances
+    from all members to all nodes."""
+    a, b = (cut(x.select("node").distinct(), "set") for x in (a, b))
+    inside = g.nodes(graph)
+    in_a, in_b = (cut(x.join(inside, "node", "left_semi"), "in-graph") for x in (a, b))
+    tag = lambda df, *names: df.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("what"), "node")
+    inf = F.lit(float("inf"))
+    low = tag(a, "a", "aa").unionByName(tag(b, "b", "bb")).join(nearest(graph, in_a, in_b), ["what", "node"], "left")
+    rows = low.select("what", F.coalesce(F.col("low").cast("double"), inf).alias("low"))
+    side = lambda df, s: df.select(F.lit("").alias("pair"), F.lit(0).alias("it"), F.lit(s).alias("side"), "node", F.lit(1).cast("bigint").alias("times"))
+    all_ = sums(graph, side(in_a, "A").unionByName(side(in_b, "B"))).agg(F.sum("total").alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    mean = lambda *names: F.avg(F.when(F.col("what").isin(*names), F.col("low")))
+    inner = lambda x: F.when(F.count_if(F.col("what") == x) <= 1, 0.0).otherwise(mean(x))
+    means = rows.agg(
+        mean("a", "b").alias("closest"),
+        (mean("a", "b") - (inner("aa") + inner("bb")) / 2).alias("separation"),
+        F.coalesce(F.avg(F.when((F.col("what") == "a") & (F.col("low") < inf), F.col("low"))), inf).alias("closest_directed"),
+        (F.count_if(F.col("what") == "a") * F.count_if(F.col("what") == "b")).alias("n_pairs"),
+    )
+    over = F.col("total") / F.nullif("n", F.lit(0))
+    return means.crossJoin(all_).select(
+        "closest", "separation", F.when(F.col("n") < F.col("n_pairs"), inf).otherwise(over).alias("shortest"), F.coalesce(over, inf).alias("mean_all_pairs"), "closest_directed",
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import ensp_or_null, id_prefix, protein_core, same_id, strip_species, trim_id
-from rootweave.operators import adme, edges, enrich, graph, proximity, resolve, sampling, ses
+from rootweave.operators import adme, edges, enrich, graph, pairs, proximity, resolve, sampling, ses
 from rootweave.plans.network_sql import ORACLES  # noqa: F401
 from rootweave.session import cut
 from rootweave.sources import payload
@@ -412,7 +412,7 @@ def set_distances(spark, d):
     n = Network(spark, d)
     g, sets = n.graph, n.first_pair
     a, b = (sets.where(F.col("side") == s).select("node") for s in "AB")
-    out = graph.set_distances(graph.distances(g, a.unionByName(b).distinct()), a, b)
+    out = pairs.set_distances(g, a, b)
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.round(c, 8)).alias(c)
     return out.select(*[finite(c) for c in out.columns])
 
