@@ -21,7 +21,7 @@ from rootweave.operators import graph as g
 from rootweave.session import cut, spread
 
 # A node is a hub from so many neighbours on; the largest are taken.
-HUB, MOST_HUBS = 128, 32
+HUB, MOST_HUBS = 32, 32
 # Without its hubs the graph must branch less than this (neighbours met by following an edge, without the one left), so
 # that it falls into small parts. Otherwise all pairs are searched as bits.
 BRANCHING = 1.0
