@@ -42,3 +42,9 @@ def test_hubs_are_the_sets_that_would_give_most_rows(crowded):
     assert set(u.hubs) == {"I0", "I1"}
     assert u._rows.count() <= 4 * 600 + 200 * 3
     assert rows(u.rows()) == rows(want)
+
+
+def test_counts_with_crowded_hubs(crowded):
+    u, want = crowded
+    assert rows(u.counts()) == rows(want.groupBy("query").count())
+    assert u._rows.count() <= 4 * 600 + 200 * 3
