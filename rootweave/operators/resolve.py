@@ -168,10 +168,15 @@ class Resolver:
         return nodes, cut(sets[0].unionByName(sets[1]), "routed-proteins")
 
     def stats(self, seeds: DataFrame) -> DataFrame:
-        """``resolution_stats`` of ``route`` without its rows, which may be many times the input."""
+        """``resolution_stats`` of ``route`` without its rows, which may be many times the input. A query of one set has its
+        size; only those of several are unions."""
         nodes, sets = self._routed(seeds)
-        n = [Unions(nodes, cut(sets.select("node", c).distinct(), f"{c}-sets")).counts().select("query", F.col("n").alias(f"n_{c}")) for c in ("ensg", "ensp")]
-        return n[0].join(n[1], "query")
+        alone = nodes.groupBy("query").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").select("query", "node")
+        several = cut(nodes.join(alone, "query", "left_anti"), "several-nodes")
+        sizes = sets.groupBy("node").agg(F.count_distinct("ensg").alias("n_ensg"), F.count_distinct("ensp").alias("n_ensp"))
+        named = sets.join(several, "node", "left_semi")
+        n = [Unions(several, cut(named.select("node", c).distinct(), f"{c}-sets")).counts().select("query", F.col("n").alias(f"n_{c}")) for c in ("ensg", "ensp")]
+        return n[0].join(n[1], "query").unionByName(alone.join(sizes, "node").select("query", "n_ensg", "n_ensp"))
 
     def route(self, seeds: DataFrame) -> DataFrame:
         """Proteins of ids of any of the three kinds, by their prefix; other ids resolve to nothing."""
